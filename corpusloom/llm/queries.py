@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, language, packing
+from . import chat, fingerprints, language, licenses, lines, mixing, packing, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents."""
+    mixture = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(mixture).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold the control strings of templates, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -32,6 +43,16 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the chunks of lines that stand in another place before."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence family of all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents; three quarters of them, by the remainder of crc32, may teach."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
@@ -42,7 +63,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_chat_formatting, op6_best_fit_packing, op7_document_fingerprints, op10_language_id)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_url_filters, op5_chat_formatting, op6_best_fit_packing, op7_document_fingerprints, op8_line_dedup, op9_license_scan, op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
