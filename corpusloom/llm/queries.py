@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, language, licenses, lines, mixing, packing, urls
+from . import chat, fingerprints, jaccard, language, licenses, lines, mixing, packing, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all vectors of equal labels and nearly equal directions."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of all documents that share nine tenths of their shingles of three words."""
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -69,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_url_filters, op4_ngram_jaccard, op5_chat_formatting, op6_best_fit_packing, op7_document_fingerprints, op8_line_dedup, op9_license_scan, op10_language_id,
+        op1_mix_sources, op2_url_filters, op3_embedding_near_dedup, op4_ngram_jaccard, op5_chat_formatting, op6_best_fit_packing, op7_document_fingerprints, op8_line_dedup, op9_license_scan, op10_language_id,
     )
 }
 
