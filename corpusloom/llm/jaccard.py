@@ -50,35 +50,36 @@ class Frequent:
         self.values, self.counts, self.waiting, self.size = merged[counts > 0], counts[counts > 0], [], 0
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
     for part in slices(batch, "text"):
-        yield from zip(part.column("key").to_pylist(), shingle_sets(part.column("text"), k), strict=True)
+        yield from zip(zip(part.column("key").to_pylist(), part.column("tie").to_pylist(), strict=True), shingle_sets(part.column("text"), k), strict=True)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("key"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("key"), F.xxhash64("text").alias("tie"), "text")
 
 
 def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document: key (doc_id, or the least long), n shingles and sid, a hash of their set, null without any; and, with a null key, rows of token and
-    seen: frequent shingles of each task."""
+    """A row for each document: key (doc_id, or the least long), tie (a hash of the text), n shingles and sid, a hash of their set, null without any; and,
+    with a null key, rows of token and seen: frequent shingles of each task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent(COUNTERS)
         for batch in batches:
-            keys, sizes, sids = [], [], []
-            for key, found in _sets(batch, k):
-                keys.append(key), sizes.append(len(found)), sids.append(set_id(found) if len(found) else None)
+            keys, ties, sizes, sids = [], [], [], []
+            for (key, tie), found in _sets(batch, k):
+                keys.append(key), ties.append(tie), sizes.append(len(found)), sids.append(set_id(found) if len(found) else None)
                 if len(found):
                     frequent.add(found)
             none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), none, none], ["key", "n", "sid", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, ties, sizes, sids)), none, none], names)
         frequent.merge()
         often = frequent.counts > 1
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(frequent.values[often].view(np.int64)), pa.array(frequent.counts[often])], ["key", "n", "sid", "token", "seen"])
+        yield pa.RecordBatch.from_arrays([*[none] * 4, pa.array(frequent.values[often].view(np.int64)), pa.array(frequent.counts[often])], names)
 
-    return _keyed(docs).mapInArrow(scan, "key long, n long, sid long, token long, seen long")
+    names = ["key", "tie", "n", "sid", "token", "seen"]
+    return _keyed(docs).mapInArrow(scan, ", ".join(f"{n} long" for n in names))
 
 
 def _least_shared(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -178,6 +179,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     found = roots.select(F.col("node").alias("sid"), "root")
+    # Every row keeps one of its own: the root of its component, or its sid.
     return rows.drop("root").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
@@ -216,15 +218,8 @@ def similar_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return joined.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted")).filter("shared >= wanted").select("a", "b")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id, text).
-
-    A document's set holds its distinct shingles of k words (A-Z lower-cased; with fewer words, all of them as one). Two documents link when
-    100 * common >= percent * union. component_id is the smallest doc_id that links lead to, the document's own included.
-
-    A null, empty or wordless text has an empty set, and links with nothing. Rows with equal sets are one node from the start, however many they are.
-    A null doc_id takes part, but is no component_id unless no other is there: then that is null. Repeated rows are judged alike; other columns are ignored;
-    an empty table gives no rows.
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """A row for each row of docs: key (doc_id, or the least long), tie (a hash of the text), n, and root, which the sets of a component share; null without shingles.
 
     No link between different components is missed: prefixes that miss a similar pair don't exist, and pairs are left out only when both are known
     to be in one component, through links that were verified. In lists longer than LONG_LIST each set is first compared with one leader, for up to
@@ -232,14 +227,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     scanned = written(shingled(docs, k))
-    rows = scanned.filter("key is not null").select("key", "n", "sid")
+    rows = scanned.filter("key is not null").select("key", "tie", "n", "sid")
     tokens = scanned.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT)
     frequent = tokens.orderBy("seen", "token").toArrow().column("token").to_numpy().view(np.uint64)
     classes = checkpointed(rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("first")))
 
     lists = postings(docs, k, percent, frequent).repartition("token").dropDuplicates(["token", "sid"])
-    lists = lists.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1").drop("df")
-    lists = written(lists)
+    lists = written(lists.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1").drop("df"))
 
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
@@ -256,12 +250,35 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not pairs.isEmpty():
         roots = components(links.unionByName(verified(docs, classes, pairs, k, percent)))
     discard(lists)
+    return _with_roots(rows, roots)
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs (doc_id, text).
+
+    A document's set holds its distinct shingles of k words (A-Z lower-cased; with fewer words, all of them as one). Two documents link when
+    100 * common >= percent * union. component_id is the smallest doc_id that links lead to, the document's own included.
+
+    A null, empty or wordless text has an empty set, and links with nothing. Rows with equal sets are one node from the start, however many they are.
+    A null doc_id takes part, but is no component_id unless no other is there: then that is null. Repeated rows are judged alike; other columns are ignored;
+    an empty table gives no rows.
+    """
+    rows = grouped(docs, k, percent).withColumn("doc_id", F.when(F.col("key") > _NULL, F.col("key")))
+    tops = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(tops, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-    grouped = _with_roots(classes, roots)
-    # Null ids count as the least long: a class that has one has its smallest other id looked up among the rows.
-    named = rows.filter(F.col("key") > _NULL).groupBy("sid").agg(F.min("key").alias("least"))
-    tops = grouped.select("sid", "root").join(named, "sid", "left").groupBy("root").agg(F.min("least").alias("component_id"))
-    members = grouped.select("sid", "root").join(tops, "root").select("sid", "component_id")
-    key = F.when(F.col("key") > _NULL, F.col("key"))
-    found = rows.join(members, "sid", "left")
-    return found.select(key.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+
+def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, of each component of jaccard_groups() only one: that with the smallest doc_id (null last), of several such rows one.
+
+    Rows without shingles all stay.
+    """
+    rows = grouped(docs, k, percent)
+    rank = F.struct((F.col("key") == _NULL).alias("last"), "key", "tie")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(rank).alias("top")).select("top.key", "top.tie", F.lit(True).alias("one"))
+    bare = rows.filter("root is null").select("key", "tie", F.lit(False).alias("one")).distinct()
+    keep = first.unionByName(bare).select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), F.col("one").alias("_one"))
+    whole = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(_NULL)), "_t": F.xxhash64("text")})
+    whole = whole.join(keep, (whole["_k"] == keep["_key"]) & (whole["_t"] == keep["_tie"]))
+    turn = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(0)))
+    return whole.withColumn("_turn", turn).filter("_turn = 1 or not _one").select(*docs.columns)
