@@ -1,11 +1,9 @@
-"""The registry of the queries."""
+"""All queries: the modules that register them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import corpus_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "word_counts"
+FLAGSHIP = "bytes_per_piece"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
