@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 Step = Callable[[Column], Column]
 
 
+def _by_row(change: Callable[[str], str]) -> Callable[[Column], Column]:
+    """change as an Arrow function; it is made where it is used, as that takes a session."""
+
+    def run(text: Column) -> Column:
+        def each(texts: pd.Series) -> pd.Series:
+            return texts.map(change, na_action="ignore")
+
+        each.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        return F.pandas_udf(each, "string")(text)
+
+    return run
+
+
 def _form(name: str) -> Step:
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize(name, t), na_action="ignore")
+    normal = _by_row(lambda t: unicodedata.normalize(name, t))
 
     def apply(text: Column) -> Column:
         # Texts of ASCII alone are in every form: they are spared the way to Python.
@@ -77,16 +88,11 @@ def to_byte_characters(text: str) -> str:
     return text.encode().decode("latin-1").translate(_TO_BYTES)
 
 
-@F.pandas_udf("string")
-def _bytes_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(to_byte_characters, na_action="ignore")
-
-
 def byte_level(text: Column) -> Column:
     """Each byte of the UTF-8 form as its printable character."""
     # Without white space and controls, ASCII stays as it is.
     plain = text.rlike(r"^[\x21-\x7E]*$")
-    return F.when(plain, text).otherwise(_bytes_udf(F.when(~plain, text)))
+    return F.when(plain, text).otherwise(_by_row(to_byte_characters)(F.when(~plain, text)))
 
 
 def bert(text: Column, clean_text: bool = True, handle_chinese_chars: bool = True, strip_accents: bool | None = None, lowercase: bool = True) -> Column:
@@ -203,8 +209,7 @@ class Aligned:
 def aligned(text: Column, *steps: Callable[[Aligned], Aligned]) -> Column:
     """{normalized, align}: for offsets, when they are asked for."""
 
-    @F.pandas_udf("normalized string, align array<struct<start:int,end:int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts):
         rows = []
         for t in texts:
             a = Aligned(t or "")
@@ -213,4 +218,5 @@ def aligned(text: Column, *steps: Callable[[Aligned], Aligned]) -> Column:
             rows.append((a.text, [{"start": s, "end": e} for s, e in a.align]))
         return pd.DataFrame(rows, columns=["normalized", "align"])
 
-    return run(text)
+    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "normalized string, align array<struct<start:int,end:int>>")(text)

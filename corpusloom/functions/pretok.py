@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +26,12 @@ def split_pattern(delimiter: str, behaviour: str, invert: bool = False) -> tuple
     With invert the stretches between matches are the delimiters.
     """
     match, gap = f"(?:{delimiter})", f"(?:(?!{delimiter})(?s:.))"
-    found, between = (f"{gap}+", match) if invert else (match, f"{gap}+")
+    # Possessive, so that long stretches need no stack: a gap can't hold what follows it.
+    found, between = (f"{gap}++", match) if invert else (match, f"{gap}++")
     patterns = {
         "removed": (f"{found}|({between})", 1),
         "isolated": (f"{found}|{between}", 0),
-        "contiguous": (f"(?:{found})+|(?:{between})+" if not invert else f"{found}|(?:{between})+", 0),
+        "contiguous": (f"(?:{found})++|{between}" if not invert else f"{found}|(?:{between})++", 0),
         "merged_with_previous": (f"(?:{between})?{found}|{between}", 0),
         "merged_with_next": (f"{found}(?:{between})?|{between}", 0),
     }
@@ -92,9 +94,10 @@ def metaspace(text: Column, replacement: str = "▁", prepend: str = "always", d
 
 def unicode_scripts(text: Column) -> Column:
     """Break where the script changes. Hiragana, Katakana and the long vowel mark count as Han; a space belongs to any script."""
-    classes = [r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]", *(rf"\p{{Is{s}}}" for s in SCRIPTS)]
-    rest = "(?:(?!" + "|".join(classes) + ")(?s:.))"
-    return extract(text, "|".join(rf" *(?:{c} *)+" for c in [*classes, rest]) + "| +")
+    classes = [r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー", *(rf"\p{{Is{s}}}" for s in SCRIPTS)]
+    known = "".join(classes)
+    runs = [f" *+[{c}][ {c}]*+" for c in classes]
+    return extract(text, "|".join([*runs, f" *+[^ {known}](?:[^{known}])*+", " ++"]))
 
 
 def sequence(text: Column, *steps) -> Column:
@@ -105,9 +108,18 @@ def sequence(text: Column, *steps) -> Column:
     return pieces
 
 
-def with_offsets(pieces: Column, text: Column) -> Column:
-    """Pieces that cover the whole text, as {piece, start, end} in characters."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.length(F.array_join(F.slice(pieces, 1, i), "")))
-    return F.when(F.size(pieces) > 0, F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), (F.get(ends, i) - F.length(p)).alias("start"), F.get(ends, i).alias("end")))).otherwise(
-        F.array().cast("array<struct<piece:string,start:int,end:int>>")
-    )
+def with_offsets(pieces: Column) -> Column:
+    """Pieces that cover their whole text, as {piece, start, end} in characters."""
+
+    def run(rows):
+        found = []
+        for row in rows:
+            end, spans = 0, []
+            for p in row if row is not None else ():
+                spans.append({"piece": p, "start": end, "end": end + len(p)})
+                end += len(p)
+            found.append(spans)
+        return pd.Series(found)
+
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<piece:string,start:int,end:int>>")(pieces)
