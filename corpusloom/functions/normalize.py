@@ -30,7 +30,7 @@ def _form(name: str) -> Step:
 
     def apply(text: Column) -> Column:
         # Texts of ASCII alone are in every form: they are spared the way to Python.
-        plain = text.rlike(r"^\p{ASCII}*$")
+        plain = text.rlike(r"^\p{ASCII}*\z")
         return F.when(plain, text).otherwise(normal(F.when(~plain, text)))
 
     return apply
@@ -91,7 +91,7 @@ def to_byte_characters(text: str) -> str:
 def byte_level(text: Column) -> Column:
     """Each byte of the UTF-8 form as its printable character."""
     # Without white space and controls, ASCII stays as it is.
-    plain = text.rlike(r"^[\x21-\x7E]*$")
+    plain = text.rlike(r"^[\x21-\x7E]*\z")
     return F.when(plain, text).otherwise(_by_row(to_byte_characters)(F.when(~plain, text)))
 
 
