@@ -180,7 +180,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
                     )
 
     drawn = plan.mapInArrow(slots, "shard long, slot long, source_no int, epoch int, block long")
-    return Mixture(documents, drawn.join(blocks, ["source_no", "block"]), sources)
+    # The planner takes the slots for as few as the shards, and would broadcast them.
+    return Mixture(documents, drawn.join(blocks.hint("merge"), ["source_no", "block"]), sources)
 
 
 def taken_words(mixture: Mixture) -> DataFrame:
@@ -204,10 +205,12 @@ def mixed_texts(docs: DataFrame, mixture: Mixture) -> DataFrame:
     numbered = mixture.documents.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("start"))).filter("size > 0")
     spans = mixture.parts.groupBy("source_no", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "n_words"))).alias("spans"))
     wanted = spans.join(numbered, ["source_no", "start"]).select(*(F.col(c).alias(f"_{c}") for c in same), F.col("copy").alias("_copy"), "spans")
-    texts = docs.withColumn("tie", F.xxhash64("text", "doc_id")).withColumn("copy", copy)
+    # The rows' own columns are kept apart, whatever their names.
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    texts = docs.select(own, "doc_id", "source", F.xxhash64("text", "doc_id").alias("tie")).withColumn("copy", copy)
     met = [texts[c].eqNullSafe(wanted[f"_{c}"]) for c in same] + [texts["copy"] == wanted["_copy"]]
-    found = texts.join(wanted, met).select(*(texts[c] for c in docs.columns), "spans")
-    count = "n_chars" in docs.columns
+    found = texts.join(wanted, met).select(F.col("row.text").alias("text"), "row", "spans")
+    docs_columns, count = docs.columns, "n_chars" in docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +228,8 @@ def mixed_texts(docs: DataFrame, mixture: Mixture) -> DataFrame:
                     edge = [*starts[first[i] : first[i + 1]], offsets[i + 1]]
                     texts = [data[edge[a] : edge[b]].tobytes().decode() for a, b in runs]
                     out.append("".join(t if t.endswith("\n") or k == len(texts) - 1 else f"{t}\n" for k, t in enumerate(texts)))
-                columns = {n: part.column(n) for n in part.schema.names if n != "spans"} | {"text": pa.array(out, pa.string())}
+                row = part.column("row")
+                columns = {n: row.field(i) for i, n in enumerate(docs_columns)} | {"text": pa.array(out, pa.string())}
                 if count:
                     columns["n_chars"] = pa.array([len(t) for t in out], pa.int64())
                 yield pa.RecordBatch.from_pydict(columns)
