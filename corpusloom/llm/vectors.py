@@ -15,7 +15,7 @@ from .components import components
 
 #: Codebooks are fitted on about so many vectors of a dimension, chosen by hash.
 SAMPLE = 20_000
-LISTS, LIST_ROWS = 1_024, 1_024
+LISTS, LIST_ROWS = 1_024, 4_096
 SUBSPACES, CODES = 8, 256
 #: Vectors of a dimension beyond these are an error: each has codebooks of its own.
 MOST_DIMENSIONS = 100
