@@ -101,7 +101,7 @@ class Windows:
             at += len(t.text)
         done = (self.number, "".join(parts), self.size(self.new, self.repeated), len(self.repeated), starts, ends)
         self.past.extend(self.new)
-        self.base, self.new, self.number = self.total, [], self.number + 1
+        self.base, self.new, self.number = self.new[-1].end, [], self.number + 1
         return done
 
 

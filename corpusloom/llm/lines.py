@@ -73,14 +73,13 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_L
     # What each document has to compare.
     others = found.join(repeated, ["h", "size"]).filter(place != F.col("origin")).select("doc_id", "tie", "first", "h", "size")
     others = others.join(origins, ["h", "size"]).groupBy(F.col("doc_id").alias("r_doc"), F.col("tie").alias("r_tie")).agg(F.collect_list(F.struct("first", "bytes")).alias("same"))
-    whole = kept.withColumn("_tie", F.xxhash64("text"))
-    whole = whole.join(others, whole["doc_id"].eqNullSafe(others["r_doc"]) & (whole["_tie"] == others["r_tie"]), "left").drop("r_doc", "r_tie", "_tie")
+    whole = kept.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("tie"))
+    whole = whole.join(others, whole["doc_id"].eqNullSafe(others["r_doc"]) & (whole["tie"] == others["r_tie"]), "left").select("_row", "text", "same")
     return _without(whole, names, divisor, long_line)
 
 
 def _without(rows: DataFrame, names: list[str], divisor: int, long_line: int) -> DataFrame:
     """Take the chunks out of the texts that equal what `same` has for their first line."""
-    rows = rows.select(F.struct(*names).alias("_row"), F.col("text"), "same")
     rows = _chunked(rows.withColumn("text", F.when(F.col("same").isNotNull(), F.col("text"))), divisor, long_line)
     # Arrays of strings are subtracted by hash.
     rows = rows.withColumn("_left", F.expr("array_except(transform(chunks, c -> concat(c.first, ':', c.body)), transform(same, x -> concat(x.first, ':', x.bytes)))"))
