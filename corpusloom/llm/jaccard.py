@@ -6,22 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytehash import mix
-from .common import checkpointed, discard, slices, written
+from .common import checkpointed, discard, release, slices, written
 from .components import components
 from .shingles import set_id, shingle_sets
 
 #: Prefixes are lengthened by up to so many tokens less one.
-LEVELS = 8
+LEVELS = 12
 #: Counters that a task keeps for frequent shingles, and frequent shingles that are broadcast.
 COUNTERS, MOST_FREQUENT = 1 << 15, 1 << 18
 #: Sets whose postings a task remembers, to leave out those of further copies.
 REMEMBERED = 200_000
-#: Lists longer than this are first linked by stars, in so many rounds at most.
-LONG_LIST, STAR_ROUNDS = 24, 3
+#: In lists longer than this, neighbours are compared first: in so many rounds at most, in which a set is in chains of so many of its lists, of about so many sets.
+LONG_LIST, CHAIN_ROUNDS, CHAINS, CHAIN_GROUP = 24, 4, 8, 4_096
+#: A list is led by so many sets, and a set follows the leads of so many of its lists.
+LEADS, LED = 16, 4
 BITS = 24
 
 _NULL = -(1 << 63)
@@ -88,10 +90,10 @@ def _least_shared(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """token, sid, n and level of the longest prefix of each set that is asked for.
+    """token, sid, n and place of the longest prefix of each set that is asked for, and where its last token stands in the order of all (last_rank, last_hash).
 
-    Shingles are in the order of their hashes, but those in frequent (ascending by frequency) come last. Sets with similarity share at least `l`
-    tokens of their prefixes of n - least shared + l; level is the least `l` whose prefix holds the token.
+    Shingles are in the order of their hashes, but those in frequent (ascending by frequency) come last. Similar sets share at least `l` tokens of
+    their prefixes of n - least shared + l.
     """
     order = np.argsort(frequent, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
@@ -102,7 +104,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
         some[values >> np.uint64(44)] = True
         remembered: set[int] = set()
         for batch in batches:
-            tokens, sids, sizes, levels = [], [], [], []
+            tokens, sids, sizes, places, ranked, hashes = [], [], [], [], [], []
             for _, found in _sets(batch, k):
                 n = len(found)
                 if not n or (sid := set_id(found)) in remembered:
@@ -112,21 +114,39 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                 base = n - int(_least_shared(n, percent))
                 take = min(n, base + LEVELS)
                 maybe = np.flatnonzero(some[found >> np.uint64(44)])
+                rank = np.full(n, -1, np.int32)
                 if len(maybe):
                     at = np.minimum(np.searchsorted(values, found[maybe]), len(values) - 1)
                     hit = values[at] == found[maybe]
-                    rank = np.full(n, -1, np.int64)
                     rank[maybe[hit]] = ranks[at[hit]]
-                    found = found[np.argsort(rank, kind="stable")]
+                    order = np.argsort(rank, kind="stable")
+                    found, rank = found[order], rank[order]
                 tokens.append(found[:take])
-                sids.append(np.full(take, sid)), sizes.append(np.full(take, n)), levels.append(np.maximum(1, np.arange(take) - base + 1))
+                sids.append(np.full(take, sid)), sizes.append(np.full(take, n)), places.append(np.arange(take, dtype=np.int32))
+                ranked.append(np.full(take, rank[take - 1])), hashes.append(np.full(take, found[take - 1] >> np.uint64(1)))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(levels).astype(np.int16))],
-                    ["token", "sid", "n", "level"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ranked)), pa.array(np.concatenate(hashes).view(np.int64))],
+                    ["token", "sid", "n", "place", "last_rank", "last_hash"],
                 )
 
-    return _keyed(docs).mapInArrow(scan, "token long, sid long, n long, level short")
+    return _keyed(docs).mapInArrow(scan, "token long, sid long, n long, place int, last_rank int, last_hash long")
+
+
+_FACTS = ("sid", "n", "lone", "alone", "last_rank", "last_hash", "root")
+
+
+def _may_match(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets (structs of _FACTS) that share a token of their prefixes can be similar.
+
+    lone tokens come before the first token that a set shares with any: no other set has them. alone tokens of the prefix are in no other prefix: of two sets,
+    the one whose prefix ends first in the order of all tokens has at least so many that the other lacks, whose prefix would hold them.
+    """
+    rest = lambda s, c: s["n"] - s[c]
+    end = lambda s: F.struct(s["last_rank"], s["last_hash"])
+    by_end = F.when(end(x) < end(y), rest(x, "alone")).when(end(y) < end(x), rest(y, "alone")).otherwise(F.greatest(rest(x, "alone"), rest(y, "alone")))
+    common = F.least(rest(x, "lone"), rest(y, "lone"), by_end)
+    return 100 * common >= percent * (x["n"] + y["n"] - common)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -183,18 +203,31 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.drop("root").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """For each set the other set (of another component) that leads most of the long lists that both are in, as a pair (a, b).
+def _neighbours(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that are in one of the lists, which are long, and may match.
 
-    A list is led by the first set of its first component; that component's own sets follow the last of the last.
+    A set is paired with those that lead LED of its lists, which are the LEADS with the fewest tokens of their own (alone): of a text and its near copies those
+    nearest to the text. And in each turn it takes part in CHAINS of its lists, in random orders in which neighbours are paired. So pairs grow with the lists' lengths, not
+    their squares, and yet a large group of sets of which each is similar to some others comes together.
     """
-    end = F.struct("root", "sid")
-    leads = lists.groupBy("token").agg(F.count("*").alias("long"), F.min(end).alias("low"), F.max(end).alias("high"))
-    leads = leads.filter(f"long > {LONG_LIST} and low.root <> high.root")
-    chosen = F.when(F.col("root") == F.col("low.root"), F.col("high.sid")).otherwise(F.col("low.sid"))
-    votes = lists.join(leads, "token").select("sid", chosen.alias("lead")).groupBy("sid", "lead").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("sid").agg(F.max(F.struct("votes", "lead")).alias("top"))
-    return best.select(F.col("sid").alias("a"), F.col("top.lead").alias("b"))
+    facts = F.struct(*_FACTS)
+    mixed = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    rows = lists.join(mixed.select("token", "df"), "token")
+    some = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64("token", F.lit(turn))))
+    rows = rows.withColumn("_some", some)
+    rows = rows.withColumns({"_order": F.xxhash64("sid", "token", F.lit(turn)), "_group": F.pmod(F.xxhash64("sid", F.lit(turn)), F.ceil(F.col("df") / CHAIN_GROUP))})
+    chain = Window.partitionBy("token", "_group").orderBy("_order", "sid")
+    chained = rows.filter(f"_some <= {CHAINS}").select(facts.alias("x"), F.lead(facts).over(chain).alias("y"))
+    least = F.row_number().over(Window.partitionBy("token").orderBy("alone", "_order", "sid"))
+    leads = rows.withColumn("_least", least).filter(f"_least <= {LEADS}").select("token", facts.alias("y"))
+    pairs = chained.unionByName(rows.filter(f"_some <= {LED}").select("token", facts.alias("x")).join(leads, "token").select("x", "y"))
+    met = (F.col("x.root") != F.col("y.root")) & _may_match(F.col("x"), F.col("y"), percent)
+    return pairs.filter(met).select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
+
+
+def _spare(percent: int) -> Column:
+    """How many of n tokens a similar set may lack."""
+    return F.expr(f"n - (n * {percent} + 99) div 100")
 
 
 def similar_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -203,27 +236,32 @@ def similar_pairs(lists: DataFrame, percent: int) -> DataFrame:
     Each set takes the level at which its expected work is least: the postings that it reads and, at level l, a comparison for each l-th of
     them, whose cost grows with its size. The larger set of a pair (then the one with the larger sid) decides on the level.
     """
-    token = Window.partitionBy("token")
-    lists = lists.withColumns({"df": F.count("*").over(token), "low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high")
-    work = [F.sum(F.when(F.col("level") <= at, F.col("df") - 1).otherwise(0)) * (1 + F.first("n") / F.lit(20 * at)) for at in range(1, LEVELS + 1)]
+    mixed = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token", "df")
+    lists = lists.join(mixed, "token")
+    work = [F.sum(F.when(F.col("place") < _spare(percent) + at, F.col("df") - 1).otherwise(0)) * (1 + F.first("n") / F.lit(2 * at)) for at in range(1, LEVELS + 1)]
     level = F.array_position(F.array(*work), F.array_min(F.array(*work)))
     # A prefix is no longer than its set: a level beyond would ask for more tokens than there are.
     chosen = lists.groupBy("sid").agg(F.least(level, F.first("n")).cast("short").alias("wanted"))
-    lists = checkpointed(lists.join(chosen, "sid").select("token", "sid", "n", "level", "root", "wanted"))
-    a = lists.filter("level <= wanted").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "wanted")
-    b = lists.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "level")
-    met = (F.col("ra") != F.col("rb")) & ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))))
-    met &= (F.col("level") <= F.col("wanted")) & (100 * F.col("nb") >= percent * F.col("na"))
-    joined = a.join(b, "token").filter(met)
-    return joined.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted")).filter("shared >= wanted").select("a", "b")
+    level = F.greatest(F.lit(1), F.col("place") - _spare(percent) + 1)
+    lists = checkpointed(lists.join(chosen, "sid").select("token", F.struct(*_FACTS).alias("s"), "place", level.alias("level"), "wanted"))
+    a = lists.filter("level <= wanted").select("token", F.col("s").alias("x"), F.col("place").alias("place_x"), "wanted")
+    b = lists.select("token", F.col("s").alias("y"), F.col("place").alias("place_y"), "level")
+    x, y = F.col("x"), F.col("y")
+    met = (x["root"] != y["root"]) & (F.struct(x["n"], x["sid"]) > F.struct(y["n"], y["sid"])) & (F.col("level") <= F.col("wanted")) & _may_match(x, y, percent)
+    pairs = a.join(b, "token").filter(met).groupBy(x["sid"].alias("a"), y["sid"].alias("b")).agg(
+        F.count("*").alias("shared"), F.first("wanted").alias("wanted"), F.first(x["n"]).alias("na"), F.first(y["n"]).alias("nb"), F.min("place_x").alias("pa"), F.min("place_y").alias("pb")
+    )
+    # What comes before the first token that both have is in one of them only.
+    common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return pairs.filter("shared >= wanted").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row for each row of docs: key (doc_id, or the least long), tie (a hash of the text), n, and root, which the sets of a component share; null without shingles.
 
     No link between different components is missed: prefixes that miss a similar pair don't exist, and pairs are left out only when both are known
-    to be in one component, through links that were verified. In lists longer than LONG_LIST each set is first compared with one leader, for up to
-    STAR_ROUNDS rounds, so that large groups of near copies are together before pairs are made. Frequencies and costs only decide on the work.
+    to be in one component, through links that were verified. In lists longer than LONG_LIST sets are first compared with a leader and with neighbours in random orders, for up
+    to CHAIN_ROUNDS rounds, so that large groups of near copies are together before pairs are made. Frequencies and costs only decide on the work.
     """
     spark: SparkSession = docs.sparkSession
     scanned = written(shingled(docs, k))
@@ -232,13 +270,21 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     frequent = tokens.orderBy("seen", "token").toArrow().column("token").to_numpy().view(np.uint64)
     classes = checkpointed(rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("first")))
 
-    lists = postings(docs, k, percent, frequent).repartition("token").dropDuplicates(["token", "sid"])
-    lists = written(lists.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1").drop("df"))
+    # A list has a row for each set that has the token in its prefix; those of a single set are of no use.
+    every = written(postings(docs, k, percent, frequent).groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "place", "last_rank", "last_hash"))))
+    release(spark)
+    met = checkpointed(every.join(every.groupBy("token").count().filter("count > 1").select("token"), "token"))
+    alone = F.least(F.first("n"), F.first(_spare(percent)) + LEVELS) - F.count("*")
+    lists = written(met.join(met.groupBy("sid").agg(F.min("place").alias("lone"), alone.alias("alone")), "sid"))
+    discard(every)
+    long = lists.groupBy("token").count().filter(f"count > {LONG_LIST}").select("token")
+    long = written(lists.join(long, "token"))
+    release(spark)
 
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
-    for _ in range(STAR_ROUNDS):
-        pairs = checkpointed(_stars(_with_roots(lists, roots)))
+    for turn in range(CHAIN_ROUNDS):
+        pairs = checkpointed(_neighbours(_with_roots(long, roots), percent, turn))
         if pairs.isEmpty():
             break
         new = verified(docs, classes, pairs, k, percent)
@@ -246,6 +292,10 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
             break
         links = links.unionByName(new)
         roots = components(links)
+        release(spark)
+        if 50 * new.count() < pairs.count():  # what is left is hardly ever similar
+            break
+    discard(long)
     pairs = checkpointed(similar_pairs(_with_roots(lists, roots), percent))
     if not pairs.isEmpty():
         roots = components(links.unionByName(verified(docs, classes, pairs, k, percent)))
@@ -278,7 +328,8 @@ def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = rows.filter("root is not null").groupBy("root").agg(F.min(rank).alias("top")).select("top.key", "top.tie", F.lit(True).alias("one"))
     bare = rows.filter("root is null").select("key", "tie", F.lit(False).alias("one")).distinct()
     keep = first.unionByName(bare).select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), F.col("one").alias("_one"))
-    whole = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(_NULL)), "_t": F.xxhash64("text")})
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = docs.select(own, F.coalesce("doc_id", F.lit(_NULL)).alias("_k"), F.xxhash64("text").alias("_t"))
     whole = whole.join(keep, (whole["_k"] == keep["_key"]) & (whole["_t"] == keep["_tie"]))
     turn = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(0)))
-    return whole.withColumn("_turn", turn).filter("_turn = 1 or not _one").select(*docs.columns)
+    return whole.withColumn("_turn", turn).filter("_turn = 1 or not _one").select("row.*")
