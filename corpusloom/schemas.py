@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-_DDL = {
+#: Schemas as DDL, which readers and createDataFrame() take; they need no session to be imported.
+SCHEMAS: dict[str, str] = {
     "document": "text string, uid bigint",
     "multilingual_document": "text string, uid bigint, lang string",
     "tokenised_document": "input_ids array<int>, uid bigint",
@@ -36,7 +36,6 @@ _DDL = {
     "paired_bootstrap": "model_a string, model_b string, n_docs bigint, delta_bpb double, ci_low double, ci_high double, significant boolean, p_boot double",
     "run_name": "run string, size string, tokenizer string, vocab string, budget string, seed int",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 
 def require_columns(df: DataFrame, needed: Iterable[str], what: str = "table") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _late(events: DataFrame, time: str, delay: str) -> DataFrame:
-    return events.withWatermark(time, delay) if events.isStreaming else events
+    """Watermarks take instants: a time without zone is taken for one of the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay) if events.isStreaming else events
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None, by: tuple[str, ...] = ("event_type",), time: str = "ts", delay: str = "10 minutes") -> DataFrame:
