@@ -78,4 +78,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = (
+    "reach AS (SELECT {id} AS node, {id} AS seen FROM {nodes} UNION SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.node),"
+    " least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": (
+        "WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),"
+        " ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),"
+        " edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),"
+        f" {_REACH.format(id='vec_id', nodes='v')}, n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)"
+        " SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON node = vec_id LEFT JOIN n ON a = vec_id"
+    ),
+    "op4_ngram_jaccard": (
+        r"WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),"
+        " s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),"
+        " n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),"
+        " c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),"
+        " edges AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),"
+        f" {_REACH.format(id='doc_id', nodes='documents')}"
+        " SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN least ON node = d.doc_id"
+    ),
+}
