@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 #: One boundary in so many lines, on average.
 DIVISOR = 3
 #: A line of so many words is a chunk by itself, so that a long passage on one line is found whatever stands around it.
@@ -61,26 +63,59 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_L
     found = found.filter("(c.n > 1 or c.long) and trim(c.body) <> ''").select("doc_id", "tie", F.col("c.first").alias("first"), F.xxhash64("c.body").alias("h"), F.length("c.body").alias("size"))
 
     place = F.struct("doc_id", "tie", "first")
+    found = written(found)
     repeated = found.groupBy("h", "size").agg(F.min(place).alias("origin"), F.max(place).alias("last")).filter(F.col("origin") != F.col("last")).drop("last")
+    repeated = written(repeated)
+    copies = written(found.join(repeated, ["h", "size"]).filter(place != F.col("origin")).select("doc_id", "tie", "first", "h", "size"))
+    discard(found)
+
+    # Only documents that have to do with a repeated chunk are joined, and so shuffled.
+    origins = repeated.select("h", "size", F.col("origin.doc_id").alias("doc_id"), F.col("origin.tie").alias("tie"), F.col("origin.first").alias("first"))
+    involved = _in_bitmap(origins.select("tie").unionByName(copies.select("tie")))
+    rows = involved(kept.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), "doc_id", F.xxhash64("text").alias("tie")))
+    some = rows.filter("_in").drop("_in")
 
     # The bytes of the first of each.
-    wanted = repeated.select("h", "size", F.col("origin.doc_id").alias("o_doc"), F.col("origin.tie").alias("o_tie"), F.col("origin.first").alias("o_first"))
-    by_doc = wanted.groupBy("o_doc", "o_tie").agg(F.collect_list(F.struct("o_first", "h", "size")).alias("parts"))
-    origins = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["o_doc"]) & (texts["tie"] == by_doc["o_tie"])).select("text", "parts")
-    origins = _chunked(origins, divisor, long_line).select(F.expr("transform(parts, p -> p.o_first)").alias("firsts"), F.explode("chunks").alias("c"))
-    origins = origins.filter("array_contains(firsts, c.first)").select(F.xxhash64("c.body").alias("h"), F.length("c.body").alias("size"), F.col("c.body").alias("bytes")).dropDuplicates(["h", "size"])
+    by_doc = origins.groupBy(F.col("doc_id").alias("o_doc"), F.col("tie").alias("o_tie")).agg(F.collect_list("first").alias("firsts"))
+    firsts = some.join(by_doc, some["doc_id"].eqNullSafe(by_doc["o_doc"]) & (some["tie"] == by_doc["o_tie"])).select(F.col("_row.text").alias("text"), "firsts")
+    firsts = _chunked(firsts, divisor, long_line).select("firsts", F.explode("chunks").alias("c")).filter("array_contains(firsts, c.first)")
+    firsts = firsts.select(F.xxhash64("c.body").alias("h"), F.length("c.body").alias("size"), F.col("c.body").alias("bytes")).dropDuplicates(["h", "size"])
 
     # What each document has to compare.
-    others = found.join(repeated, ["h", "size"]).filter(place != F.col("origin")).select("doc_id", "tie", "first", "h", "size")
-    others = others.join(origins, ["h", "size"]).groupBy(F.col("doc_id").alias("r_doc"), F.col("tie").alias("r_tie")).agg(F.collect_list(F.struct("first", "bytes")).alias("same"))
-    whole = kept.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("tie"))
-    whole = whole.join(others, whole["doc_id"].eqNullSafe(others["r_doc"]) & (whole["tie"] == others["r_tie"]), "left").select("_row", "text", "same")
-    return _without(whole, names, divisor, long_line)
+    same = copies.join(firsts, ["h", "size"]).groupBy(F.col("doc_id").alias("r_doc"), F.col("tie").alias("r_tie")).agg(F.collect_list(F.struct("first", "bytes")).alias("same"))
+    whole = some.join(same, some["doc_id"].eqNullSafe(same["r_doc"]) & (some["tie"] == same["r_tie"]), "left").select("_row", "same")
+    rest = rows.filter("not _in").select(*(F.col(f"_row.`{n}`").alias(n) for n in names), F.lit(0).cast("long").alias("removed_chunks"), F.lit(0).cast("long").alias("removed_chars"))
+    if "n_chars" in names:
+        rest = rest.withColumn("n_chars", F.length("text").cast("long"))
+    return _without(whole, names, divisor, long_line).unionByName(rest)
+
+
+BITS = 22
+
+
+def _in_bitmap(keys: DataFrame):
+    """A function that adds the column _in to a frame: whether its hash `tie` may be among those of keys.
+
+    It goes by 2**BITS bits, whose size doesn't depend on the number of keys: with few keys hardly any other row is let through, with very many all are.
+    """
+    place = F.pmod(F.col("tie"), F.lit(1 << BITS))
+    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    bits = [0] * (1 << BITS - 6)
+    for row in words.toLocalIterator():
+        bits[row["word"]] = row["bits"]
+    table = keys.sparkSession.createDataFrame([(1, bits)], "_one int, _bits array<long>")
+
+    def add(rows: DataFrame) -> DataFrame:
+        joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")
+        joined = joined.withColumn("_word", F.get("_bits", F.shiftright(place, 6).cast("int")))
+        return joined.withColumn("_in", F.expr("bit_get(_word, cast(pmod(tie, 64) as int)) = 1")).drop("_one", "_bits", "_word")
+
+    return add
 
 
 def _without(rows: DataFrame, names: list[str], divisor: int, long_line: int) -> DataFrame:
     """Take the chunks out of the texts that equal what `same` has for their first line."""
-    rows = _chunked(rows.withColumn("text", F.when(F.col("same").isNotNull(), F.col("text"))), divisor, long_line)
+    rows = _chunked(rows.withColumn("text", F.when(F.col("same").isNotNull(), F.col("_row.text"))), divisor, long_line)
     # Arrays of strings are subtracted by hash.
     rows = rows.withColumn("_left", F.expr("array_except(transform(chunks, c -> concat(c.first, ':', c.body)), transform(same, x -> concat(x.first, ':', x.bytes)))"))
     text = F.when(F.col("same").isNull(), F.col("_row.text")).otherwise(F.expr("array_join(transform(_left, x -> substr(x, instr(x, ':') + 1)), '\n')"))
