@@ -251,8 +251,10 @@ def similar_pairs(lists: DataFrame, percent: int) -> DataFrame:
     pairs = a.join(b, "token").filter(met).groupBy(x["sid"].alias("a"), y["sid"].alias("b")).agg(
         F.count("*").alias("shared"), F.first("wanted").alias("wanted"), F.first(x["n"]).alias("na"), F.first(y["n"]).alias("nb"), F.min("place_x").alias("pa"), F.min("place_y").alias("pb")
     )
-    # What comes before the first token that both have is in one of them only.
-    common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # What comes before the first token that both have is in one of them only. And of the two prefixes, what the one that ends first doesn't share is in
+    # its set only: whichever that is, so many tokens are left to be common.
+    left = lambda n: F.expr(f"{n} - least({n}, {n} - ({n} * {percent} + 99) div 100 + wanted) + shared")
+    common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.greatest(left("na"), left("nb")))
     return pairs.filter("shared >= wanted").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
