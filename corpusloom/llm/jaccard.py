@@ -90,7 +90,8 @@ def _least_shared(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """token, sid, n and place of the longest prefix of each set that is asked for, and where its last token stands in the order of all (last_rank, last_hash).
+    """token, sid and place of the longest prefix of each set that is asked for; in the row of place 0 alone, also n and where the prefix's last token
+    stands in the order of all (last_rank, last_hash).
 
     Shingles are in the order of their hashes, but those in frequent (ascending by frequency) come last. Similar sets share at least `l` tokens of
     their prefixes of n - least shared + l.
@@ -98,6 +99,12 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
     order = np.argsort(frequent, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
 
+    def first(rows: int, value: int) -> np.ndarray:
+        """value, and zeros, which cost next to nothing on disk."""
+        column = np.zeros(rows, np.int64)
+        column[0] = value
+        return column
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = shared.value
         some = np.zeros(1 << 20, bool)
@@ -122,11 +129,11 @@ def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                     order = np.argsort(rank, kind="stable")
                     found, rank = found[order], rank[order]
                 tokens.append(found[:take])
-                sids.append(np.full(take, sid)), sizes.append(np.full(take, n)), places.append(np.arange(take, dtype=np.int32))
-                ranked.append(np.full(take, rank[take - 1])), hashes.append(np.full(take, found[take - 1] >> np.uint64(1)))
+                sids.append(np.full(take, sid)), sizes.append(first(take, n)), places.append(np.arange(take, dtype=np.int32))
+                ranked.append(first(take, rank[take - 1])), hashes.append(first(take, found[take - 1] >> np.uint64(1)))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ranked)), pa.array(np.concatenate(hashes).view(np.int64))],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ranked).astype(np.int32)), pa.array(np.concatenate(hashes))],
                     ["token", "sid", "n", "place", "last_rank", "last_hash"],
                 )
 
@@ -275,9 +282,15 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # A list has a row for each set that has the token in its prefix; those of a single set are of no use.
     every = written(postings(docs, k, percent, frequent).groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "place", "last_rank", "last_hash"))))
     release(spark)
-    met = checkpointed(every.join(every.groupBy("token").count().filter("count > 1").select("token"), "token"))
-    alone = F.least(F.first("n"), F.first(_spare(percent)) + LEVELS) - F.count("*")
-    lists = written(met.join(met.groupBy("sid").agg(F.min("place").alias("lone"), alone.alias("alone")), "sid"))
+    facts = every.filter("place = 0").select("sid", "n", "last_rank", "last_hash")
+    places = every.select("token", "sid", "place")
+    met = written(places.join(places.groupBy("token").count().filter("count > 1").select("token"), "token"))
+    release(spark)
+    # lone: how many tokens come before the first one in a list; whatever shares a token of both prefixes has none of them.
+    shares = met.groupBy("sid").agg(F.min("place").alias("lone"), F.count("*").alias("met")).join(facts, "sid")
+    shares = shares.withColumn("alone", F.least(F.col("n"), _spare(percent) + LEVELS) - F.col("met")).drop("met")
+    lists = written(met.join(shares, "sid"))
+    discard(met)
     discard(every)
     long = lists.groupBy("token").count().filter(f"count > {LONG_LIST}").select("token")
     long = written(lists.join(long, "token"))
