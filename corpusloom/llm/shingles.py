@@ -23,7 +23,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         return
     words = Spans(data, fold=True)(starts, ends)
     value = np.zeros(len(words), np.uint64)
-    for i in range(k):
+    for i in range(min(k, len(words))):  # with fewer words in all, no text has a shingle of k
         value[: len(words) - i] = (value[: len(words) - i] + words[i:]) * BASE
         value[: len(words) - i] ^= value[: len(words) - i] >> np.uint64(32)
     value = mix(value)
