@@ -246,9 +246,10 @@ def similar_pairs(lists: DataFrame, percent: int) -> DataFrame:
     mixed = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token", "df")
     lists = lists.join(mixed, "token")
     work = [F.sum(F.when(F.col("place") < _spare(percent) + at, F.col("df") - 1).otherwise(0)) * (1 + F.first("n") / F.lit(2 * at)) for at in range(1, LEVELS + 1)]
-    level = F.array_position(F.array(*work), F.array_min(F.array(*work)))
-    # A prefix is no longer than its set: a level beyond would ask for more tokens than there are.
-    chosen = lists.groupBy("sid").agg(F.least(level, F.first("n")).cast("short").alias("wanted"))
+    # Similar sets are only sure to share the least number of tokens: a level beyond would ask for more than some have in common.
+    costs = lists.groupBy("sid").agg(F.array(*work).alias("work"), (F.first("n") - F.first(_spare(percent))).cast("int").alias("least"))
+    costs = costs.withColumn("work", F.slice("work", 1, F.least(F.lit(LEVELS), "least")))
+    chosen = costs.select("sid", F.array_position("work", F.array_min("work")).cast("short").alias("wanted"))
     level = F.greatest(F.lit(1), F.col("place") - _spare(percent) + 1)
     lists = checkpointed(lists.join(chosen, "sid").select("token", F.struct(*_FACTS).alias("s"), "place", level.alias("level"), "wanted"))
     a = lists.filter("level <= wanted").select("token", F.col("s").alias("x"), F.col("place").alias("place_x"), "wanted")

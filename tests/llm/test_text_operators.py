@@ -92,6 +92,21 @@ def test_jaccard_finds_all_of_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(roots))
 
 
+def test_jaccard_links_short_texts(spark):
+    """Pairs of 1 to 15 shingles that differ by one or two words at either end or by one in between."""
+    texts, rng = [], random.Random(5)
+    for n, turn in itertools.product(range(5, 20), range(6)):
+        words = [f"w{rng.random()}" for _ in range(n)]
+        near = [words[:-1], words[1:], words[:-2], words[2:], words[1:-1], [*words[: n // 2], "other", *words[n // 2 + 1 :]]][turn]
+        texts += [" ".join(words), " ".join(near)]
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    expected = {}
+    for i in range(0, len(texts), 2):
+        a, b = sets(texts[i], 5), sets(texts[i + 1], 5)
+        expected |= {i: i, i + 1: i if 100 * len(a & b) >= 80 * len(a | b) else i + 1}
+    assert found == expected and sum(i != c for i, c in expected.items()) >= 40
+
+
 def test_first_of_groups(docs, rows):
     roots, own = groups([r[1] for r in rows], 5, 80)
     kept = jaccard.first_of_groups(docs, 5, 80).collect()
