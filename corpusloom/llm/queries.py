@@ -54,8 +54,8 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the chunks of lines that stand in another place before."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    """All documents without the chunks of lines, and the passages of fifty words, that stand in another place before."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), run_words=lines.RUN_WORDS)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

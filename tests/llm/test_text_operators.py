@@ -339,6 +339,31 @@ def test_long_passages_go_and_unique_text_stays(docs, spark):
     assert out[0] == f"first 0\n{passage}\nlast 0" and all(out[i] == f"first {i}\nlast {i}" for i in range(1, 9))
 
 
+def test_passages_of_short_lines_go(spark):
+    """Passages of 4 to 10 lines in different surroundings: the first copy stays whole, of the others nothing; what has fewer words, or only looks alike, stays."""
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = {n: [line(14 if n < 6 else 8) for _ in range(n)] for n in range(4, 11)}
+    passages |= {11: [line(49), line(1), "", line(5)], 12: [line(3) for _ in range(20)], 13: [line(60)], 14: [line(17).replace(" ", "\t") for _ in range(3)]}
+    short = [line(12) for _ in range(4)]
+    rows, wanted = [], {}
+    for i in range(5):
+        for passage in (p for p in passages.values() if sum(len(x.split()) for x in p) >= 50):
+            before, after, key = [line(3) for _ in range(i)], [line(5)] * (i < 4), len(rows)
+            rows.append((key, "\n".join(before + passage + after)))
+            wanted[key] = "\n".join(before + (passage if i == 0 else []) + after)
+    rows += [(1000 + i, "\n".join([line(4), short[i], line(4)])) for i in range(4)] + [(None, "x y")]
+    wanted |= {d: t for d, t in rows if d is None or d >= 1000}
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), run_words=lines.RUN_WORDS).collect()}
+    assert out == wanted
+
+
+def test_runs_within_a_text_keep_each_line_once(spark):
+    texts = ["\n".join(["again", "and again"] * 400), "\n".join(f"line {i % 30} of many" for i in range(90))]
+    out = [r["text"].split("\n") for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), run_words=lines.RUN_WORDS).orderBy("doc_id").collect()]
+    assert [set(x) for x in out] == [set(t.split("\n")) for t in texts] and [len(x) < len(t.split("\n")) for x, t in zip(out, texts, strict=True)] == [True, True]
+
+
 def test_licenses(spark):
     texts = {
         1: "Some text.\nReleased under the MIT License.\nMore.",
