@@ -68,16 +68,48 @@ OTHERS = (
     "The commons were open to the public in creative ways.",
     "The Mozilla foundation published a report.",
 )
-#: A paragraph without any of these words has none of the features, which are the n-grams that hold one.
-CUES = ("license", "licensed", "licence", "licenced", "copyright", "permission", "redistribution", "redistribute", "reserved", "gnu", "apache", "mit", "bsd", "mozilla", "cc", "cc0", "creative", "commons", "domain", "unencumbered", "warranty")
+_SUFFIXES = ("", "-only", "-or-later")
+_CC = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def _gnu(name: str, versions: tuple[str, ...]) -> tuple[str, ...]:
+    return (name, *(f"{name}-{v}{s}" for v in versions for s in _SUFFIXES), *(f"{name}{w}{v.removesuffix('.0')}" for v in versions for w in ("v", " ", " v")), *(f"{name}{w}{v}" for v in versions for w in ("v", " ", " v")))
+
+
+def _creative(parts: tuple[str, ...]) -> tuple[str, ...]:
+    named = (f"cc{w}{p}{z}{v}" for p in parts for v in _CC for w, z in (("-", "-"), (" ", " "), ("-", " ")))
+    return (*named, *(f"{w}creativecommons.org licenses {p}" for p in parts for w in ("", "www.")))
+
+
+# Abbreviations, identifiers of SPDX and addresses, of 1 to 3 words, each of which names a licence by itself.
+NAMES: dict[str, tuple[str, ...]] = {
+    f: tuple(dict.fromkeys(names)) for f, names in {
+        "apache": ("apache-1.0", "apache-1.1", "apache-2.0", "www.apache.org licenses license-2.0", "apache.org licenses license-2.0"),
+        "mit": ("spdx-license-identifier mit", "mit-0", "mit-licensed", "opensource.org licenses mit"),
+        "bsd": ("0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "bsd 2-clause", "bsd 3-clause", "bsd-licensed"),
+        "gpl": _gnu("gpl", ("1.0", "2.0", "3.0")),
+        "lgpl": _gnu("lgpl", ("2.0", "2.1", "3.0")),
+        "agpl": _gnu("agpl", ("1.0", "3.0")),
+        "mpl": _gnu("mpl", ("1.0", "1.1", "2.0"))[1:],
+        "cc-by": _creative(("by",)),
+        "cc-by-sa": _creative(("by-sa",)),
+        "cc-by-nc": _creative(("by-nc", "by-nc-sa", "by-nc-nd")),
+        "public-domain": ("cc0", "cc0-1.0", "unlicense", "unlicense.org", "creativecommons.org publicdomain zero"),
+    }.items()
+}
+#: Words of which a part between hyphens and dots is one of these, or starts with it, are cues. A paragraph without any has none of the features, which are
+#: the n-grams that hold one.
+CUES = ("copyright", "permission", "redistribution", "redistribute", "reserved", "gnu", "apache", "mit", "bsd", "0bsd", "mozilla", "cc", "cc0", "creative", "commons", "domain", "unencumbered", "warranty", "spdx", r"[al]?gpl(?:v?[0-9]+)?", r"mpl(?:v?[0-9]+)?")
+CUE_STARTS = ("licen[cs]", "unlicen[cs]", "relicen[cs]", "sublicen[cs]", "creativecommons", "copyleft")
+CUE = rf"(?i)(?<![A-Za-z0-9])(?:(?:{'|'.join(CUE_STARTS)})|(?:{'|'.join(CUES)})(?![A-Za-z0-9]))"
 _WORD = r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*"
 
 
 def ngrams(text: str) -> set[str]:
     """The n-grams of 1 to 3 words that hold a cue."""
     words = [w.lower() for w in re.findall(_WORD, text, re.ASCII)]
-    grams = (words[i : i + n] for n in (1, 2, 3) for i in range(len(words) - n + 1))
-    return {" ".join(g) for g in grams if not set(CUES).isdisjoint(g)}
+    held = [re.search(CUE, w, re.ASCII) is not None for w in words]
+    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if any(held[i : i + n])}
 
 
 @dataclass(frozen=True)
@@ -88,11 +120,12 @@ class LicenseModel:
     #: the least probability of a family that isn't put down to UNKNOWN
     threshold: float
     templates: list[tuple[str, int, str, int]]  # family, number, n-gram, n-grams of the template
+    names: dict[str, str]  # family of each name
 
 
 @cache
 def train(seed: int = 0, copies: int = 12, rounds: int = 150, rate: float = 1.0, decay: float = 1e-4) -> LicenseModel:
-    """Fit to the templates and to copies of them with words lost, doubled or set among others; OTHERS teach UNKNOWN.
+    """Fit to the templates and names and to copies of them with words lost, doubled or set among others; OTHERS teach UNKNOWN.
 
     The threshold is the probability at which, on copies that were held out, the most are told rightly apart from held-out copies of OTHERS.
     """
@@ -108,7 +141,10 @@ def train(seed: int = 0, copies: int = 12, rounds: int = 150, rate: float = 1.0,
 
     def sample(n: int) -> list[tuple[set[str], int]]:
         known = [(t, families.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, len(families) - 1) for t in OTHERS]
-        return [(ngrams(t if i == 0 else variant(t)), y) for t, y in known for i in range(n)]
+        rows = [(ngrams(t if i == 0 else variant(t)), y) for t, y in known for i in range(n)]
+        # Families have few names or many, and teach about as much by them.
+        forms = lambda name: (name, f"Licensed under {name}.", f"SPDX-License-Identifier: {name}")
+        return rows + [(ngrams(t), families.index(f)) for f, names in NAMES.items() for name in names for t in forms(name) for _ in range(n * 4 // len(names) + 1)]
 
     taught, held = sample(copies), sample(3)
     vocabulary = sorted({g for grams, _ in taught for g in grams})
@@ -136,14 +172,13 @@ def train(seed: int = 0, copies: int = 12, rounds: int = 150, rate: float = 1.0,
     threshold = float(np.linspace(0.3, 0.9, 61)[int(np.argmax(right))])
     table = np.round(w, 6)
     shapes = [(f, i, g, len(grams)) for f, ts in TEMPLATES.items() for i, grams in enumerate(map(ngrams, ts)) for g in sorted(grams)]
-    return LicenseModel(families, {g: table[i].tolist() for g, i in number.items()}, table[-1].tolist(), threshold, shapes)
+    return LicenseModel(families, {g: table[i].tolist() for g, i in number.items()}, table[-1].tolist(), threshold, shapes, {g: f for f, names in NAMES.items() for g in names})
 
 
 def _grams(paragraph: Column) -> tuple[Column, Column]:
     """The words of a paragraph, and of the column `words` its ngrams()."""
     words = F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), F.lit(0))
-    cues = ", ".join(f"'{c}'" for c in CUES)
-    held = f"x -> arrays_overlap(x, array({cues}))"
+    held = f"x -> exists(x, w -> w rlike r'{CUE}')"
     runs = [f"if(size(words) < {n}, array(), transform(sequence(1, size(words) - {n - 1}), i -> slice(words, i, {n})))" for n in (1, 2, 3)]
     return words, F.expr(f"array_distinct(transform(filter(concat({', '.join(runs)}), {held}), x -> array_join(x, ' ')))")
 
@@ -151,15 +186,14 @@ def _grams(paragraph: Column) -> tuple[Column, Column]:
 def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, similar: float = 0.5) -> DataFrame:
     """doc_id, line, family, probability and similarity of each paragraph (line) that holds a cue.
 
-    family is the likeliest if its probability reaches the model's threshold and at least the share similar of a template of the family is in the paragraph;
-    else unknown. Each paragraph is judged by sums over its n-grams.
+    family is the likeliest if its probability reaches the model's threshold and at least the share similar of a template of the family, or one of its
+    names, is in the paragraph; else unknown. Each paragraph is judged by sums over its n-grams.
     """
     model = model or train()
     spark = docs.sparkSession
-    cue = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(CUES, key=len, reverse=True)) + r")(?![A-Za-z0-9])"
-    rows = docs.filter(F.col("text").rlike(cue)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "paragraph")).filter(F.col("paragraph").rlike(cue))
+    rows = docs.filter(F.col("text").rlike(CUE)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "paragraph")).filter(F.col("paragraph").rlike(CUE))
     words, grams = _grams(F.col("paragraph"))
-    rows = rows.withColumn("words", words).select("doc_id", F.xxhash64("paragraph").alias("p"), "line", F.explode(grams).alias("gram"))
+    rows = rows.withColumn("words", words).select("doc_id", F.xxhash64("paragraph").alias("p"), "line", F.explode_outer(grams).alias("gram"))
 
     families = model.families[:-1]
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
@@ -167,13 +201,17 @@ def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, simil
     templates = sorted({(f, i) for f, i, _, _ in model.templates})
     for f, i, g, n in model.templates:
         shapes.setdefault(g, []).append((templates.index((f, i)), 1 / n))
+    # The names of a family are one more template, of which each is the whole.
+    templates += [(f, -1) for f in families]
+    for g, f in model.names.items():
+        shapes.setdefault(g, []).append((templates.index((f, -1)), 1.0))
     overlap = spark.createDataFrame([(g, [dict(x).get(t, 0.0) for t in range(len(templates))]) for g, x in shapes.items()], "gram string, s array<double>")
-    # Fixed tables, of a few hundred n-grams.
+    # Fixed tables, of a few thousand n-grams.
     scored = rows.join(F.broadcast(weights), "gram", "left").join(F.broadcast(overlap), "gram", "left")
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(model.families))] + [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(templates))]
     scored = scored.groupBy("doc_id", "line", "p").agg(*sums)
     logits = F.array(*(F.coalesce(f"w{i}", F.lit(0.0)) + b for i, b in enumerate(model.bias)))
-    near = F.array(*(F.greatest(F.lit(0.0), *(F.coalesce(f"s{t}", F.lit(0.0)) for t, (g, _) in enumerate(templates) if g == f)) for f in families))
+    near = F.array(*(F.greatest(F.lit(0.0), *(F.least(F.coalesce(f"s{t}", F.lit(0.0)), F.lit(1.0)) for t, (g, _) in enumerate(templates) if g == f)) for f in families))
     scored = scored.select("doc_id", "line", logits.alias("z"), near.alias("near"))
     scored = scored.withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))")).withColumn("total", F.expr("aggregate(e, 0D, (a, x) -> a + x)"))
     scored = scored.withColumn("known", F.expr(f"slice(e, 1, {len(families)})")).withColumn("best", F.expr("array_position(known, array_max(known))").cast("int"))

@@ -384,6 +384,18 @@ def test_licenses(spark):
     }[9] in ("mit", "proprietary")
 
 
+def test_license_names_and_identifiers(spark):
+    texts = {
+        "SPDX-License-Identifier: Apache-2.0": "apache", "// SPDX-License-Identifier: MIT": "mit", "see BSD-3-Clause": "bsd", "This code is available under the GPLv3.": "gpl",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl", "You can use it under the LGPLv2.1 or later": "lgpl", "LGPL-3.0-only": "lgpl", "AGPL-3.0": "agpl", "under the MPL 2.0": "mpl",
+        "The text is CC-BY-4.0.": "cc-by", "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa", "CC BY-NC 4.0": "cc-by-nc", "CC0-1.0": "public-domain", "The Unlicense": "public-domain",
+        "Several licenses apply.": "unknown", "SPDX-License-Identifier: LicenseRef-Other": "unknown", "mit\u212a": "unknown", "He was licentious at the summit": None, "an mplayer": None,
+    }
+    found = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {list(texts)[r["doc_id"]]: r["family"] for r in found} == texts
+    assert all((r["n_paragraphs"] == 0) == (r["family"] is None) for r in found)
+
+
 def test_license_grams_in_columns_are_those_of_training(spark):
     from pyspark.sql import functions as F
 
