@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def host_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int = 50, margin: float = 1.0) -> DataFrame:
+def host_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int | None = None, margin: float = 1.0) -> DataFrame:
     """host, trust, distrust and blocked for each host of a page or link.
 
     trust is the PageRank whose jumps go to hosts with pages that a rule allows, by the number of those pages; distrust is that over the reversed
     links whose jumps go to hosts with blocked pages. Both add up to 1 at most; what reaches a host without links onward ends there. A host is
-    blocked if distrust > margin * trust. Rounds end when no more than tolerance has moved, or after most_rounds.
+    blocked if distrust > margin * trust. Rounds end when neither has changed by more than the share tolerance of itself on any host, however little of the
+    whole that host has, and so not before all that links lead to are reached; or after most_rounds, if given.
     """
     judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allowed, blocked = ([r.rule for r in rules if r.allow is x] for x in (True, False))
@@ -88,7 +90,9 @@ def host_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: floa
         shares.select(F.col("dst").alias("at"), F.col("src").alias("host"), none.alias("t"), F.col("backward").alias("d"))
     )
     steps = checkpointed(steps)
-    for _ in range(most_rounds):
+    # Below this, numbers have too few digits to settle.
+    change = lambda new, old: F.when(F.col(new) > 1e-300, F.abs(F.col(new) - F.col(old)) / F.col(new))
+    for _ in count() if most_rounds is None else range(most_rounds):
         held = ranks.select(F.col("host").alias("at"), "trust", "distrust")
         got = steps.join(held, "at").groupBy("host").agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
         new = ranks.join(got, "host", "left").select(
@@ -97,7 +101,7 @@ def host_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: floa
             ((1 - damping) * F.col("jump_d") + damping * F.coalesce("d", none)).alias("distrust"),
         )
         ranks = checkpointed(new)
-        moved = ranks.agg(F.sum(F.abs(F.col("trust") - F.col("_t")) + F.abs(F.col("distrust") - F.col("_d")))).first()[0]
+        moved = ranks.agg(F.greatest(F.max(change("trust", "_t")), F.max(change("distrust", "_d")))).first()[0]
         ranks = ranks.drop("_t", "_d")
         if (moved or 0) <= tolerance:
             break

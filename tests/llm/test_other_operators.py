@@ -84,6 +84,18 @@ def test_trust_spreads_along_links(spark):
         assert r["verdict"] == ("allow" if (fit.allow if fit else not (r["host"] in verdicts and verdicts[r["host"]]["blocked"])) else "block")
 
 
+def test_distrust_reaches_a_small_farm_beside_many_seeds(spark):
+    """One of 20,000 blocked seed pages is linked from a chain of 55 hosts; the others have no links."""
+    pages = [(f"http://example.com/en/{i}", None) for i in range(19_999)] + [("http://s.net/es/x", None)]
+    chain = ["s.net", *(f"h{i}.org" for i in range(55))]
+    pages += [(f"http://{b}/", f"<a href='http://{a}/'>") for a, b in zip(chain, chain[1:], strict=False)] + [("http://apart.org/", "<a href='http://lone.org/'>")]
+    table = spark.createDataFrame([(i, u, h, 0, "") for i, (u, h) in enumerate(pages)], PAGES)
+    found = {r["host"]: r for r in urls.host_verdicts(table).collect()}
+    for i, host in enumerate(chain):
+        assert found[host]["blocked"] and found[host]["distrust"] == pytest.approx(0.15 * 0.85**i / 20_000, rel=1e-3)
+    assert not found["apart.org"]["blocked"] and not found["lone.org"]["blocked"]
+
+
 def test_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], PAGES)).count() == 0
 
