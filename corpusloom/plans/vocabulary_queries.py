@@ -177,14 +177,14 @@ def _listed(spark, vocab):
 
 @query()
 def topdown_comp(spark, sf_dir):
-    """The pieces of frequent words; the number of seeds is a setting of the trainer."""
-    config = unigram.TopDownConfig(vocab_size=400, special_tokens=SPECIALS, seed_size=1500, prune_ratio=0.5, min_prune=100, max_piece_length=8)
+    """The pieces of frequent words, from all seeds of the trainer's defaults; deleted in batches, as one by one takes a pass for each seed (see the README)."""
+    config = unigram.TopDownConfig(special_tokens=SPECIALS, prune_ratio=0.5, min_prune=100)
     return _listed(spark, unigram.train_topdown(_byte_words(spark, sf_dir), config)[0])
 
 
 @query()
 def unigram_em(spark, sf_dir):
-    config = unigram.UnigramConfig(vocab_size=400, special_tokens=SPECIALS, seed_size=1500, max_piece_length=8, sub_iterations=1, shrinking_factor=0.5)
+    config = unigram.UnigramConfig(special_tokens=SPECIALS)
     return _listed(spark, unigram.train_unigram(_byte_words(spark, sf_dir), config))
 
 

@@ -45,3 +45,11 @@ def test_same_rows(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["topdown_comp", "unigram_em"])
+def test_trainers_have_their_defaults(spark, name):
+    """Vocabularies of 8,000 from all seeds, with pieces of up to 16 characters."""
+    tokens = [r["token"] for r in catalogue.QUERIES[name](spark, SF).collect()]
+    assert len(tokens) == len(set(tokens)) == 8_000
+    assert 8 < max(len(t) for t in tokens if not t.startswith("<|")) <= 16
