@@ -18,9 +18,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; a missing label is filled in. Those that are null or have no letters go."""
-    found = language.identify(docs, language.fit(docs)).filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents whose text has letters, with the language that the classifier finds as their label, whatever it was. Where no row had a label, nothing is learned
+    and labels stay null."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.filter(language.has_letters(F.col("text")))
+    found = language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -124,6 +124,11 @@ def scores(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], li
     return [model.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], [float(p) if h else 0.0 for p, h in zip(posterior, has, strict=True)]
 
 
+def has_letters(text: Column) -> Column:
+    """Whether a text has letters; false for a null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score in place of any columns of those names. Only the text decides; every row stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

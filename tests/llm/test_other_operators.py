@@ -224,3 +224,16 @@ def test_pipeline(spark):
         assert seen.columns == docs.columns and seen.count() > 100
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
+
+
+def test_pipeline_labels_are_predicted(spark):
+    """A wrong label is put right; with no labels at all every document with letters stays."""
+    import corpus_pipeline
+
+    texts = {"en": "the quick dog was over there with the other things that were", "fr": "le chien est dans la maison avec les autres choses qui sont"}
+    rows = [(2 * i + (x == "fr"), f"{t} {i}", x) for i in range(40) for x, t in texts.items()]
+    rows += [(100, texts["fr"], "en"), (101, texts["en"], None), (102, "12 34 !", "en"), (103, None, "fr"), (104, "", None)]
+    out = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert out == {d: x for d, _, x in rows[:80]} | {100: "fr", 101: "en"}
+    bare = spark.createDataFrame([(d, t, None) for d, t, _ in rows], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, bare, "").collect()} == dict.fromkeys(out)
