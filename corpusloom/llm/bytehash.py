@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import xxhash
 
-#: Odd, so that it has an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Longer parts are hashed one by one.
+MOST_BYTES = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,36 +20,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def byte_table(seed: int, fold: bool = False) -> np.ndarray:
-    """A pseudorandom number for each byte; with fold, A to Z share those of a to z."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * BASE + np.uint64(seed))
-    if fold:
-        table[65:91] = table[97:123]
-    return table
-
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n - 1."""
-    if len(_powers.get("base", ())) < n:
-        size = max(1 << 21, n) if n <= 1 << 24 else n
-        one = np.ones(size, np.uint64)
-        for name, factor in (("base", BASE), ("inverse", INVERSE)):
-            steps = one * factor
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["base"][:n], _powers["inverse"][:n]
-
-
-class Spans:
-    """64-bit hashes of any parts [start, end) of data; equal parts have equal hashes wherever they stand."""
-
-    def __init__(self, data: np.ndarray, seed: int = 1, fold: bool = False):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_table(seed, fold)[data] * up[:-1], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * BASE)
+def byte_table(seed: int) -> np.ndarray:
+    """A pseudorandom number for each byte."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * BASE + np.uint64(seed))
+
+
+def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the parts [start, end) of data; equal parts have equal hashes wherever they stand.
+
+    Eight bytes at a time go through mix() together with the hash of what came before, so that no sum over the bytes decides.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = (ends - starts).astype(np.int64)
+    value = mix(left.astype(np.uint64) * BASE)
+    long = np.flatnonzero(left > MOST_BYTES)
+    value[long] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    some = np.flatnonzero((left > 0) & (left <= MOST_BYTES))
+    at, left = starts[some], left[some]
+    while len(some):
+        lane = lanes[at]
+        unused = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+        value[some] = mix(value[some] ^ ((lane << unused) >> unused))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return value

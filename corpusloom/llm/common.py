@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word: what lies between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at a time; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:

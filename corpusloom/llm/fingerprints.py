@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import Spans, byte_table
+from .bytehash import byte_table, part_hashes
 from .common import slices
 
 #: Bytes of a chunk: at least, the size up to which the strict condition holds, and at most. The gear hash looks back as far as the least chunk.
@@ -66,7 +66,7 @@ def chunk_sets(texts: list[str]) -> list[Chunks]:
         counts.append(len(cuts) - before)
     ends = np.array(cuts, np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    digest, sizes = Spans(data)(starts, ends).tolist() if len(ends) else [], (ends - starts).tolist()
+    digest, sizes = part_hashes(data, starts, ends).tolist(), (ends - starts).tolist()
     found, at = [], 0
     for n in counts:
         found.append(dict(zip(digest[at : at + n], sizes[at : at + n], strict=True)))

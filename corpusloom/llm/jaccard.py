@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 from .bytehash import mix
 from .common import checkpointed, discard, release, slices, written
 from .components import components
-from .shingles import set_id, shingle_sets
+from .shingles import parities, set_id, shingle_sets
 
 #: Prefixes are lengthened by up to so many tokens less one.
 LEVELS = 12
 #: Counters that a task keeps for frequent shingles, and frequent shingles that are broadcast.
 COUNTERS, MOST_FREQUENT = 1 << 15, 1 << 18
+#: The list of a frequent shingle is dealt to a task for about so many sets.
+HOT = 1_024
 #: Sets whose postings a task remembers, to leave out those of further copies.
 REMEMBERED = 200_000
 #: In lists longer than this, neighbours are compared first: in so many rounds at most, in which a set is in chains of so many of its lists, of about so many sets.
-LONG_LIST, CHAIN_ROUNDS, CHAINS, CHAIN_GROUP = 24, 4, 8, 4_096
+LONG_LIST, CHAIN_ROUNDS, CHAINS, CHAIN_GROUP = 64, 4, 4, 4_096
 #: A list is led by so many sets, and a set follows the leads of so many of its lists.
-LEADS, LED = 16, 4
+LEADS, LED = 8, 2
+#: Of the candidates of a set, so many of the nearest are compared before the others.
+NEAREST = 2
 BITS = 24
 
-_NULL = -(1 << 63)
-
 
 class Frequent:
     """Counts of the most frequent of many values in bounded memory (Misra and Gries): a count is too small by at most what was subtracted."""
@@ -52,108 +54,121 @@ class Frequent:
         self.values, self.counts, self.waiting, self.size = merged[counts > 0], counts[counts > 0], [], 0
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[tuple[int | None, int], np.ndarray]]:
     for part in slices(batch, "text"):
-        yield from zip(zip(part.column("key").to_pylist(), part.column("tie").to_pylist(), strict=True), shingle_sets(part.column("text"), k), strict=True)
+        yield from zip(zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), strict=True), shingle_sets(part.column("text"), k), strict=True)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("key"), F.xxhash64("text").alias("tie"), "text")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
+
+
+_PARITIES = [f"p{i}" for i in range(4)]
 
 
 def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document: key (doc_id, or the least long), tie (a hash of the text), n shingles and sid, a hash of their set, null without any; and,
-    with a null key, rows of token and seen: frequent shingles of each task."""
+    """A row for each document: doc_id, tie (a hash of the text), n shingles, and sid, a hash of their set, with the set's parities, null without any; and,
+    with a null n, rows of token and seen: frequent shingles of each task."""
+    names = ["doc_id", "tie", "n", "sid", *_PARITIES, "token", "seen"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent(COUNTERS)
         for batch in batches:
-            keys, ties, sizes, sids = [], [], [], []
-            for (key, tie), found in _sets(batch, k):
-                keys.append(key), ties.append(tie), sizes.append(len(found)), sids.append(set_id(found) if len(found) else None)
+            rows: list[tuple] = []
+            for (doc, tie), found in _sets(batch, k):
                 if len(found):
+                    rows.append((doc, tie, len(found), set_id(found), *parities(found).tolist()))
                     frequent.add(found)
-            none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, ties, sizes, sids)), none, none], names)
+                else:
+                    rows.append((doc, tie, 0, None, None, None, None, None))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(8)), none, none], names)
         frequent.merge()
         often = frequent.counts > 1
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([*[none] * 4, pa.array(frequent.values[often].view(np.int64)), pa.array(frequent.counts[often])], names)
+        yield pa.RecordBatch.from_arrays([*[none] * 8, pa.array(frequent.values[often].view(np.int64)), pa.array(frequent.counts[often])], names)
 
-    names = ["key", "tie", "n", "sid", "token", "seen"]
     return _keyed(docs).mapInArrow(scan, ", ".join(f"{n} long" for n in names))
 
 
-def _least_shared(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+def _least_shared(n: int, percent: int) -> int:
     """A set of n shares at least so many tokens with each that it is similar to."""
     return -(-n * percent // 100)
 
 
-def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """token, sid and place of the longest prefix of each set that is asked for; in the row of place 0 alone, also n and where the prefix's last token
-    stands in the order of all (last_rank, last_hash).
+def postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """token, salt, sid, n and place of the longest prefix of each set that is asked for.
 
-    Shingles are in the order of their hashes, but those in frequent (ascending by frequency) come last. Similar sets share at least `l` tokens of
-    their prefixes of n - least shared + l.
+    Shingles are in the order of their hashes, but those in frequent (ascending by seen) come last. Similar sets share at least `l` tokens of
+    their prefixes of n - least shared + l. salt deals out the lists of tokens that were seen very often; it is 0 for all others.
     """
     order = np.argsort(frequent, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
-
-    def first(rows: int, value: int) -> np.ndarray:
-        """value, and zeros, which cost next to nothing on disk."""
-        column = np.zeros(rows, np.int64)
-        column[0] = value
-        return column
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int32), (seen[order] // HOT).astype(np.int32)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = shared.value
+        values, ranks, hot = shared.value
         some = np.zeros(1 << 20, bool)
         some[values >> np.uint64(44)] = True
         remembered: set[int] = set()
         for batch in batches:
-            tokens, sids, sizes, places, ranked, hashes = [], [], [], [], [], []
+            tokens, salts, sids, sizes, places = [], [], [], [], []
             for _, found in _sets(batch, k):
                 n = len(found)
                 if not n or (sid := set_id(found)) in remembered:
                     continue
                 if len(remembered) < REMEMBERED:
                     remembered.add(sid)
-                base = n - int(_least_shared(n, percent))
-                take = min(n, base + LEVELS)
+                take = min(n, n - _least_shared(n, percent) + LEVELS)
                 maybe = np.flatnonzero(some[found >> np.uint64(44)])
-                rank = np.full(n, -1, np.int32)
+                salt = np.zeros(n, np.int32)
                 if len(maybe):
                     at = np.minimum(np.searchsorted(values, found[maybe]), len(values) - 1)
                     hit = values[at] == found[maybe]
+                    rank = np.full(n, -1, np.int32)
                     rank[maybe[hit]] = ranks[at[hit]]
-                    order = np.argsort(rank, kind="stable")
-                    found, rank = found[order], rank[order]
-                tokens.append(found[:take])
-                sids.append(np.full(take, sid)), sizes.append(first(take, n)), places.append(np.arange(take, dtype=np.int32))
-                ranked.append(first(take, rank[take - 1])), hashes.append(first(take, found[take - 1] >> np.uint64(1)))
+                    deals = hot[at[hit]]
+                    salt[maybe[hit]] = np.where(deals > 0, 1 + (sid & 0x7FFFFFFF) % np.maximum(deals, 1), 0)
+                    order = np.argsort(rank, kind="stable")[:take]
+                    found, salt = found[order], salt[order]
+                tokens.append(found[:take]), salts.append(salt[:take])
+                sids.append(np.full(take, sid)), sizes.append(np.full(take, n, np.int32)), places.append(np.arange(take, dtype=np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ranked).astype(np.int32)), pa.array(np.concatenate(hashes))],
-                    ["token", "sid", "n", "place", "last_rank", "last_hash"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (salts, sids, sizes, places))], ["token", "salt", "sid", "n", "place"]
                 )
 
-    return _keyed(docs).mapInArrow(scan, "token long, sid long, n long, place int, last_rank int, last_hash long")
+    return _keyed(docs).mapInArrow(scan, "token long, salt int, sid long, n int, place int")
 
 
-_FACTS = ("sid", "n", "lone", "alone", "last_rank", "last_hash", "root")
+def _met(posted: DataFrame, percent: int) -> DataFrame:
+    """token, sid, n and place of the postings that another set of a size like theirs has too, each once; of tokens dealt out by salt, of all.
 
+    One exchange by token and salt serves both steps.
+    """
+    by = ["token", "salt"]
+    once = posted.repartition(*by).groupBy(*by, "sid").agg(F.first("n").cast("long").alias("n"), F.first("place").alias("place"))
+    along = Window.partitionBy(*by).orderBy("n")
+    less, more = F.lag("n").over(along), F.lead("n").over(along)
+    like = (less * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= more * percent)
+    return once.withColumn("_like", (F.col("salt") > 0) | F.coalesce(like, F.lit(False))).filter("_like").select("token", "sid", "n", "place")
 
-def _may_match(x: Column, y: Column, percent: int) -> Column:
-    """Whether two sets (structs of _FACTS) that share a token of their prefixes can be similar.
+
+#: What is known of each set beside its number.
+_FACTS = ("n", "lone", "alone", *_PARITIES)
+
+
+def _may_match(x: str, y: str, percent: int) -> Column:
+    """Whether two sets (columns of _FACTS that end in x and y) that share a token of their prefixes can be similar.
 
     lone tokens come before the first token that a set shares with any: no other set has them. alone tokens of the prefix are in no other prefix: of two sets,
-    the one whose prefix ends first in the order of all tokens has at least so many that the other lacks, whose prefix would hold them.
+    the one whose prefix ends first in the order of all tokens has at least so many that the other lacks, whose prefix would hold them. And sets
+    differ by at least as many tokens as their parities do.
     """
-    rest = lambda s, c: s["n"] - s[c]
-    end = lambda s: F.struct(s["last_rank"], s["last_hash"])
-    by_end = F.when(end(x) < end(y), rest(x, "alone")).when(end(y) < end(x), rest(y, "alone")).otherwise(F.greatest(rest(x, "alone"), rest(y, "alone")))
-    common = F.least(rest(x, "lone"), rest(y, "lone"), by_end)
-    return 100 * common >= percent * (x["n"] + y["n"] - common)
+    rest = lambda s, c: F.col(f"n{s}") - F.col(f"{c}{s}")
+    apart = sum((F.bit_count(F.col(f"{p}{x}").bitwiseXOR(F.col(f"{p}{y}"))) for p in _PARITIES), F.lit(0))
+    both = F.col(f"n{x}") + F.col(f"n{y}")
+    common = F.least(rest(x, "lone"), rest(y, "lone"), F.greatest(rest(x, "alone"), rest(y, "alone")), F.shiftright(both - apart, 1))
+    return 100 * common >= percent * (both - common)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -166,156 +181,199 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return found
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of sids whose sets have 100 * common >= percent * union.
-
-    The sets of the sids in pairs alone are made again from the texts of their first documents; a bitmap of those documents, of fixed size, goes to
-    the tasks that read the texts.
-    """
-    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(classes.join(ends, "sid", "left_semi").select("first")))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            place = batch.column("place").to_numpy()
-            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1))
-            for part in slices(batch, "text"):
-                found = [s for s in shingle_sets(part.column("text"), k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "tokens"])
-
-    keyed = _keyed(docs).select("text", F.pmod(F.xxhash64("key"), F.lit(1 << BITS)).alias("place"))
-    sets = keyed.mapInArrow(scan, "sid long, tokens binary").join(ends, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    sets = written(sets)
-    left, right = (sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+class Sets:
+    """The token sets of the sids that pairs name, made again from the texts and kept in the shared folder: those of a sid once, whatever the rounds."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
+        self.docs, self.classes, self.k, self.parts = docs, classes, k, []
+
+    def of(self, sids: DataFrame) -> DataFrame:
+        """sid and tokens of at least all sids. A bitmap of fixed size names the texts that are read; what it lets through beyond is dropped by a join."""
+        new = sids.distinct()
+        for part in self.parts:
+            new = new.join(part.select("sid"), "sid", "left_anti")
+        new = checkpointed(new)
+        if not new.isEmpty():
+            self.parts.append(written(self.made(new)))
+        found = self.parts[0]
+        for part in self.parts[1:]:
+            found = found.unionByName(part)
+        return found
+
+    def made(self, sids: DataFrame) -> DataFrame:
+        shared = self.docs.sparkSession.sparkContext.broadcast(_bitmap(self.classes.join(sids, "sid", "left_semi").select("tie")))
+        k = self.k
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for batch in batches:
+                place = batch.column("place").to_numpy()
+                batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1))
+                for part in slices(batch, "text"):
+                    found = [s for s in shingle_sets(part.column("text"), k) if len(s)]
+                    yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "tokens"])
+
+        # The last rows of a set's class are its texts: one of them names it in the bitmap.
+        keyed = _keyed(self.docs).select("text", F.pmod(F.xxhash64("tie"), F.lit(1 << BITS)).alias("place"))
+        return keyed.mapInArrow(scan, "sid long, tokens binary").join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+    def discard(self) -> None:
+        for part in self.parts:
+            discard(part)
+
+
+def verified(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of sids whose sets have 100 * common >= percent * union."""
+    found = sets.of(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
+    left, right = (found.select(F.col("sid").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hold = []
-            for a, b in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 hold.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
-    found = checkpointed(joined.mapInArrow(compare, "a long, b long"))
-    discard(sets)
-    return found
+    return checkpointed(joined.mapInArrow(compare, "a long, b long"))
 
 
-def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with the root of their sid's component, or its sid."""
+    if roots is None:
+        return rows.withColumn("root", F.col("sid"))
     found = roots.select(F.col("node").alias("sid"), "root")
-    # Every row keeps one of its own: the root of its component, or its sid.
-    return rows.drop("root").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return rows.join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
-def _neighbours(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The rows of lists (token, sid, root) whose token is in different components, with their number df."""
+    mixed = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return lists.join(mixed.select("token", "df"), "token")
+
+
+def _side(facts: DataFrame, end: str) -> DataFrame:
+    return facts.select(*(F.col(c).alias(f"{c}_{end}") for c in ("sid", *_FACTS)))
+
+
+def _neighbours(lists: DataFrame, facts: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of sets of different components that are in one of the lists, which are long, and may match.
 
     A set is paired with those that lead LED of its lists, which are the LEADS with the fewest tokens of their own (alone): of a text and its near copies those
     nearest to the text. And in each turn it takes part in CHAINS of its lists, in random orders in which neighbours are paired. So pairs grow with the lists' lengths, not
     their squares, and yet a large group of sets of which each is similar to some others comes together.
     """
-    facts = F.struct(*_FACTS)
-    mixed = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    rows = lists.join(mixed.select("token", "df"), "token")
-    some = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64("token", F.lit(turn))))
-    rows = rows.withColumn("_some", some)
+    rows = _mixed(lists).withColumn("_some", F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64("token", F.lit(turn)))))
     rows = rows.withColumns({"_order": F.xxhash64("sid", "token", F.lit(turn)), "_group": F.pmod(F.xxhash64("sid", F.lit(turn)), F.ceil(F.col("df") / CHAIN_GROUP))})
     chain = Window.partitionBy("token", "_group").orderBy("_order", "sid")
-    chained = rows.filter(f"_some <= {CHAINS}").select(facts.alias("x"), F.lead(facts).over(chain).alias("y"))
+    chained = rows.filter(f"_some <= {CHAINS}").select("sid", "root", F.lead("sid").over(chain).alias("other"), F.lead("root").over(chain).alias("other_root"))
     least = F.row_number().over(Window.partitionBy("token").orderBy("alone", "_order", "sid"))
-    leads = rows.withColumn("_least", least).filter(f"_least <= {LEADS}").select("token", facts.alias("y"))
-    pairs = chained.unionByName(rows.filter(f"_some <= {LED}").select("token", facts.alias("x")).join(leads, "token").select("x", "y"))
-    met = (F.col("x.root") != F.col("y.root")) & _may_match(F.col("x"), F.col("y"), percent)
-    return pairs.filter(met).select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
+    leads = rows.withColumn("_least", least).filter(f"_least <= {LEADS}").select("token", F.col("sid").alias("other"), F.col("root").alias("other_root"))
+    led = rows.filter(f"_some <= {LED}").select("token", "sid", "root").join(leads, "token").drop("token")
+    pairs = chained.unionByName(led).filter("root <> other_root").select(F.greatest("sid", "other").alias("a"), F.least("sid", "other").alias("b")).distinct()
+    known = pairs.join(_side(facts, "x"), F.col("a") == F.col("sid_x")).join(_side(facts, "y"), F.col("b") == F.col("sid_y"))
+    return known.filter(_may_match("_x", "_y", percent)).select("a", "b")
 
 
-def _spare(percent: int) -> Column:
+def _spare(percent: int, n: str = "n") -> Column:
     """How many of n tokens a similar set may lack."""
-    return F.expr(f"n - (n * {percent} + 99) div 100")
+    return F.expr(f"{n} - ({n} * {percent} + 99) div 100")
 
 
-def similar_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share enough tokens of their prefixes.
+def similar_pairs(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share enough tokens of their prefixes, and common, how many tokens they may share at most.
 
     Each set takes the level at which its expected work is least: the postings that it reads and, at level l, a comparison for each l-th of
     them, whose cost grows with its size. The larger set of a pair (then the one with the larger sid) decides on the level.
     """
-    mixed = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token", "df")
-    lists = lists.join(mixed, "token")
+    lists = _mixed(lists)
     work = [F.sum(F.when(F.col("place") < _spare(percent) + at, F.col("df") - 1).otherwise(0)) * (1 + F.first("n") / F.lit(2 * at)) for at in range(1, LEVELS + 1)]
     # Similar sets are only sure to share the least number of tokens: a level beyond would ask for more than some have in common.
     costs = lists.groupBy("sid").agg(F.array(*work).alias("work"), (F.first("n") - F.first(_spare(percent))).cast("int").alias("least"))
     costs = costs.withColumn("work", F.slice("work", 1, F.least(F.lit(LEVELS), "least")))
-    chosen = costs.select("sid", F.array_position("work", F.array_min("work")).cast("short").alias("wanted"))
-    level = F.greatest(F.lit(1), F.col("place") - _spare(percent) + 1)
-    lists = checkpointed(lists.join(chosen, "sid").select("token", F.struct(*_FACTS).alias("s"), "place", level.alias("level"), "wanted"))
-    a = lists.filter("level <= wanted").select("token", F.col("s").alias("x"), F.col("place").alias("place_x"), "wanted")
-    b = lists.select("token", F.col("s").alias("y"), F.col("place").alias("place_y"), "level")
-    x, y = F.col("x"), F.col("y")
-    met = (x["root"] != y["root"]) & (F.struct(x["n"], x["sid"]) > F.struct(y["n"], y["sid"])) & (F.col("level") <= F.col("wanted")) & _may_match(x, y, percent)
-    pairs = a.join(b, "token").filter(met).groupBy(x["sid"].alias("a"), y["sid"].alias("b")).agg(
-        F.count("*").alias("shared"), F.first("wanted").alias("wanted"), F.first(x["n"]).alias("na"), F.first(y["n"]).alias("nb"), F.min("place_x").alias("pa"), F.min("place_y").alias("pb")
+    chosen = costs.select("sid", F.array_position("work", F.array_min("work")).cast("int").alias("wanted"))
+    # Only here do the rows of lists get all that is known of their sets.
+    known = lists.select("token", "sid", "place", "root").join(facts.join(chosen, "sid"), "sid")
+    known = known.withColumn("level", F.greatest(F.lit(1), F.col("place") - _spare(percent) + 1))
+    columns = ["sid", "root", "place", "level", "wanted", *_FACTS]
+    a = known.filter("level <= wanted").select("token", *(F.col(c).alias(f"{c}_x") for c in columns))
+    b = known.select("token", *(F.col(c).alias(f"{c}_y") for c in columns))
+    larger = F.struct("n_x", "sid_x") > F.struct("n_y", "sid_y")
+    met = a.join(b, "token").filter((F.col("root_x") != F.col("root_y")) & larger & (F.col("level_y") <= F.col("wanted_x")) & _may_match("_x", "_y", percent))
+    apart = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in _PARITIES), F.lit(0))
+    pairs = met.groupBy(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).agg(
+        F.count("*").alias("shared"), F.first("wanted_x").alias("wanted"), F.first("n_x").alias("na"), F.first("n_y").alias("nb"),
+        F.min("place_x").alias("pa"), F.min("place_y").alias("pb"), F.first(apart).alias("apart"),
     )
     # What comes before the first token that both have is in one of them only. And of the two prefixes, what the one that ends first doesn't share is in
     # its set only: whichever that is, so many tokens are left to be common.
     left = lambda n: F.expr(f"{n} - least({n}, {n} - ({n} * {percent} + 99) div 100 + wanted) + shared")
-    common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.greatest(left("na"), left("nb")))
-    return pairs.filter("shared >= wanted").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.greatest(left("na"), left("nb")), F.expr("(na + nb - apart) div 2"))
+    return pairs.filter("shared >= wanted").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b", (common / (F.col("na") + F.col("nb"))).alias("near"))
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row for each row of docs: key (doc_id, or the least long), tie (a hash of the text), n, and root, which the sets of a component share; null without shingles.
+    """A row for each row of docs: doc_id, tie (a hash of the text), n, and root, which the sets of a component share; null without shingles.
 
     No link between different components is missed: prefixes that miss a similar pair don't exist, and pairs are left out only when both are known
     to be in one component, through links that were verified. In lists longer than LONG_LIST sets are first compared with a leader and with neighbours in random orders, for up
-    to CHAIN_ROUNDS rounds, so that large groups of near copies are together before pairs are made. Frequencies and costs only decide on the work.
+    to CHAIN_ROUNDS rounds, so that large groups of near copies are together before pairs are made; and of the pairs, those of each set's NEAREST come
+    first. Frequencies, costs and nearness only decide on the work.
     """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
     spark: SparkSession = docs.sparkSession
     scanned = written(shingled(docs, k))
-    rows = scanned.filter("key is not null").select("key", "tie", "n", "sid")
+    rows = scanned.filter("n is not null").select("doc_id", "tie", "n", "sid")
     tokens = scanned.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT)
-    frequent = tokens.orderBy("seen", "token").toArrow().column("token").to_numpy().view(np.uint64)
-    classes = checkpointed(rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("first")))
+    often = tokens.orderBy("seen", "token").toArrow()
+    frequent, seen = often.column("token").to_numpy().view(np.uint64), often.column("seen").to_numpy()
+    classes = checkpointed(scanned.filter("sid is not null").groupBy("sid").agg(F.min("tie").alias("tie"), *(F.first(p).alias(p) for p in _PARITIES)))
 
-    # A list has a row for each set that has the token in its prefix; those of a single set are of no use.
-    every = written(postings(docs, k, percent, frequent).groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "place", "last_rank", "last_hash"))))
-    release(spark)
-    facts = every.filter("place = 0").select("sid", "n", "last_rank", "last_hash")
-    places = every.select("token", "sid", "place")
-    met = written(places.join(places.groupBy("token").count().filter("count > 1").select("token"), "token"))
+    met = written(_met(postings(docs, k, percent, frequent, seen), percent))
     release(spark)
     # lone: how many tokens come before the first one in a list; whatever shares a token of both prefixes has none of them.
-    shares = met.groupBy("sid").agg(F.min("place").alias("lone"), F.count("*").alias("met")).join(facts, "sid")
+    shares = met.groupBy("sid").agg(F.first("n").alias("n"), F.min("place").alias("lone"), F.count("*").alias("met"))
     shares = shares.withColumn("alone", F.least(F.col("n"), _spare(percent) + LEVELS) - F.col("met")).drop("met")
-    lists = written(met.join(shares, "sid"))
-    discard(met)
-    discard(every)
-    long = lists.groupBy("token").count().filter(f"count > {LONG_LIST}").select("token")
-    long = written(lists.join(long, "token"))
-    release(spark)
+    facts = checkpointed(shares.join(classes.drop("tie"), "sid").select("sid", *_FACTS))
+    long = met.groupBy("token").count().filter(f"count > {LONG_LIST}").select("token")
+    long = checkpointed(met.join(long, "token").join(facts.select("sid", "alone"), "sid").select("token", "sid", "alone"))
+
+    links, roots, sets = None, None, Sets(docs, classes, k)
+
+    def add(new: DataFrame) -> None:
+        nonlocal links, roots
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
+        release(spark)
 
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
     for turn in range(CHAIN_ROUNDS):
-        pairs = checkpointed(_neighbours(_with_roots(long, roots), percent, turn))
+        pairs = checkpointed(_neighbours(_with_roots(long, roots), facts, percent, turn))
         if pairs.isEmpty():
             break
-        new = verified(docs, classes, pairs, k, percent)
+        new = verified(sets, pairs, percent)
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        roots = components(links)
-        release(spark)
+        add(new)
         if 50 * new.count() < pairs.count():  # what is left is hardly ever similar
             break
-    discard(long)
-    pairs = checkpointed(similar_pairs(_with_roots(lists, roots), percent))
-    if not pairs.isEmpty():
-        roots = components(links.unionByName(verified(docs, classes, pairs, k, percent)))
-    discard(lists)
+    pairs = checkpointed(similar_pairs(_with_roots(met, roots), facts, percent))
+    release(spark)
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
+    pairs = checkpointed(pairs.withColumn("turn", nearest))
+    discard(met)
+    first = pairs.filter(f"turn <= {NEAREST}")
+    if not first.isEmpty():
+        add(verified(sets, first.select("a", "b"), percent))
+        ends = roots.select("node", "root")
+        rest = pairs.filter(f"turn > {NEAREST}")
+        rest = rest.join(ends.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a", "left").join(ends.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left")
+        rest = checkpointed(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+        if not rest.isEmpty():
+            add(verified(sets, rest, percent))
+    sets.discard()
     return _with_roots(rows, roots)
 
 
@@ -329,7 +387,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     A null doc_id takes part, but is no component_id unless no other is there: then that is null. Repeated rows are judged alike; other columns are ignored;
     an empty table gives no rows.
     """
-    rows = grouped(docs, k, percent).withColumn("doc_id", F.when(F.col("key") > _NULL, F.col("key")))
+    rows = grouped(docs, k, percent)
     tops = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(tops, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -340,12 +398,12 @@ def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Rows without shingles all stay.
     """
     rows = grouped(docs, k, percent)
-    rank = F.struct((F.col("key") == _NULL).alias("last"), "key", "tie")
-    first = rows.filter("root is not null").groupBy("root").agg(F.min(rank).alias("top")).select("top.key", "top.tie", F.lit(True).alias("one"))
-    bare = rows.filter("root is null").select("key", "tie", F.lit(False).alias("one")).distinct()
-    keep = first.unionByName(bare).select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), F.col("one").alias("_one"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(rank).alias("top")).select("top.doc_id", "top.tie", F.lit(True).alias("one"))
+    bare = rows.filter("root is null").select("doc_id", "tie", F.lit(False).alias("one")).distinct()
+    keep = first.unionByName(bare).select(F.col("doc_id").alias("_key"), F.col("tie").alias("_tie"), F.col("one").alias("_one"))
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    whole = docs.select(own, F.coalesce("doc_id", F.lit(_NULL)).alias("_k"), F.xxhash64("text").alias("_t"))
-    whole = whole.join(keep, (whole["_k"] == keep["_key"]) & (whole["_t"] == keep["_tie"]))
+    whole = docs.select(own, F.col("doc_id").alias("_k"), F.xxhash64("text").alias("_t"))
+    whole = whole.join(keep, whole["_k"].eqNullSafe(keep["_key"]) & (whole["_t"] == keep["_tie"]))
     turn = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(0)))
     return whole.withColumn("_turn", turn).filter("_turn = 1 or not _one").select("row.*")

@@ -7,9 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .bytehash import BASE, Spans, mix
+from .bytehash import BASE, mix, part_hashes
 from .words import text_bytes, word_spans
 
+#: Each byte, or its small letter.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Bits of a set's parities.
+PARITIES = 256
+
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text the ascending hashes of its distinct shingles of k words, A-Z lower-cased.
@@ -21,7 +27,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     if not len(starts):
         yield from (np.zeros(0, np.uint64) for _ in range(len(texts)))
         return
-    words = Spans(data, fold=True)(starts, ends)
+    words = part_hashes(_FOLD[data], starts, ends)
     value = np.zeros(len(words), np.uint64)
     for i in range(min(k, len(words))):  # with fewer words in all, no text has a shingle of k
         value[: len(words) - i] = (value[: len(words) - i] + words[i:]) * BASE
@@ -41,3 +47,12 @@ def set_id(hashes: np.ndarray) -> int:
     """A signed 64-bit number that equal sets share."""
     total = int(mix(hashes).sum(dtype=np.uint64)) + len(hashes) * int(BASE) & (1 << 64) - 1
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of PARITIES classes of tokens whether a set has an odd number of them, as four signed 64-bit numbers.
+
+    Two sets differ by at least as many tokens as they differ in such bits, as each token that only one has turns one bit.
+    """
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.intp), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
