@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ LONG_LIST, CHAIN_ROUNDS, CHAINS, CHAIN_GROUP = 64, 4, 4, 4_096
 LEADS, LED = 8, 2
 #: Of the candidates of a set, so many of the nearest are compared before the others.
 NEAREST = 2
-BITS = 24
+#: A bitmap has at least 16 bits for each key, within these powers of two.
+LEAST_BITS, MOST_BITS = 20, 27
 
 
 class Frequent:
@@ -172,11 +174,11 @@ def _may_match(x: str, y: str, percent: int) -> Column:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """2**BITS bits, of which each key of one column sets one. Their number, and so what is gathered, is fixed."""
-    name = keys.columns[0]
-    place = F.pmod(F.xxhash64(name), F.lit(1 << BITS))
+    """Bits of which each key of one column sets one; there are up to 2**MOST_BITS (16 MB), which bounds what is gathered."""
+    size = min(1 << MOST_BITS, max(1 << LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(F.col(keys.columns[0]), F.lit(size))
     words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    found = np.zeros(1 << (BITS - 6), np.int64)
+    found = np.zeros(size >> 6, np.int64)
     found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return found
 
@@ -207,15 +209,13 @@ class Sets:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = shared.value
             for batch in batches:
-                place = batch.column("place").to_numpy()
+                place = batch.column("tie").to_numpy() & ((len(bits) << 6) - 1)
                 batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1))
                 for part in slices(batch, "text"):
                     found = [s for s in shingle_sets(part.column("text"), k) if len(s)]
                     yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "tokens"])
 
-        # The last rows of a set's class are its texts: one of them names it in the bitmap.
-        keyed = _keyed(self.docs).select("text", F.pmod(F.xxhash64("tie"), F.lit(1 << BITS)).alias("place"))
-        return keyed.mapInArrow(scan, "sid long, tokens binary").join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+        return _keyed(self.docs).select("text", "tie").mapInArrow(scan, "sid long, tokens binary").join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
     def discard(self) -> None:
         for part in self.parts:
@@ -282,24 +282,42 @@ def _spare(percent: int, n: str = "n") -> Column:
     return F.expr(f"{n} - ({n} * {percent} + 99) div 100")
 
 
-def similar_pairs(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share enough tokens of their prefixes, and common, how many tokens they may share at most.
+def _wanted(lists: DataFrame, percent: int) -> DataFrame:
+    """sid, wanted and met: the level that each set takes, and how many rows of lists (token, sid, n, place, df) it has.
 
-    Each set takes the level at which its expected work is least: the postings that it reads and, at level l, a comparison for each l-th of
-    them, whose cost grows with its size. The larger set of a pair (then the one with the larger sid) decides on the level.
+    It is that at which its expected work is least: the postings that it reads and, at level l, a comparison for each l-th of them, whose cost grows
+    with its size. Similar sets are only sure to share the least number of tokens: a level beyond would ask for more than some have in common.
     """
-    lists = _mixed(lists)
     work = [F.sum(F.when(F.col("place") < _spare(percent) + at, F.col("df") - 1).otherwise(0)) * (1 + F.first("n") / F.lit(2 * at)) for at in range(1, LEVELS + 1)]
-    # Similar sets are only sure to share the least number of tokens: a level beyond would ask for more than some have in common.
-    costs = lists.groupBy("sid").agg(F.array(*work).alias("work"), (F.first("n") - F.first(_spare(percent))).cast("int").alias("least"))
+    costs = lists.groupBy("sid").agg(F.array(*work).alias("work"), F.first("n").alias("n"), (F.first("n") - F.first(_spare(percent))).cast("int").alias("least"), F.count("*").alias("met"))
     costs = costs.withColumn("work", F.slice("work", 1, F.least(F.lit(LEVELS), "least")))
-    chosen = costs.select("sid", F.array_position("work", F.array_min("work")).cast("int").alias("wanted"))
+    return costs.select("sid", "n", F.array_position("work", F.array_min("work")).cast("int").alias("wanted"), "met")
+
+
+def _enough(chosen: DataFrame, percent: int) -> DataFrame:
+    """The rows of _wanted() whose set has as many tokens in lists as a pair must share: as the larger set its own level, as the smaller one at least the
+    lowest level of the sets that may be larger and similar. Those are in its class of sizes or the two after it; there are a few hundred classes."""
+    width = max(math.log(100 / percent), 0.05)
+    size = F.floor(F.ln("n") / width).cast("int")
+    lows = chosen.groupBy(size.alias("_class")).agg(F.min("wanted").alias("_low"))
+    lows = lows.select(F.explode(F.array(F.col("_class"), F.col("_class") - 1, F.col("_class") - 2)).alias("_class"), "_low").groupBy("_class").agg(F.min("_low").alias("_low"))
+    return chosen.withColumn("_class", size).join(F.broadcast(lows), "_class").filter("met >= least(wanted, _low)").drop("_class", "_low", "n")
+
+
+def similar_pairs(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share enough tokens of their prefixes, and near, by which the likelier of them come first.
+
+    The larger set of a pair (then the one with the larger sid) decides on the level.
+    """
+    lists = written(_mixed(lists).select("token", "sid", "n", "place", "root", "df"))
+    release(lists.sparkSession)
+    chosen = checkpointed(_enough(_wanted(lists, percent), percent))
     # Only here do the rows of lists get all that is known of their sets.
-    known = lists.select("token", "sid", "place", "root").join(facts.join(chosen, "sid"), "sid")
+    known = lists.select("token", "sid", "place", "root").join(facts.join(chosen.drop("met"), "sid"), "sid")
     known = known.withColumn("level", F.greatest(F.lit(1), F.col("place") - _spare(percent) + 1))
     columns = ["sid", "root", "place", "level", "wanted", *_FACTS]
-    a = known.filter("level <= wanted").select("token", *(F.col(c).alias(f"{c}_x") for c in columns))
-    b = known.select("token", *(F.col(c).alias(f"{c}_y") for c in columns))
+    a = known.filter("level <= wanted").select("token", *(F.col(c).alias(f"{c}_x") for c in columns if c != "level"))
+    b = known.select("token", *(F.col(c).alias(f"{c}_y") for c in columns if c != "wanted"))
     larger = F.struct("n_x", "sid_x") > F.struct("n_y", "sid_y")
     met = a.join(b, "token").filter((F.col("root_x") != F.col("root_y")) & larger & (F.col("level_y") <= F.col("wanted_x")) & _may_match("_x", "_y", percent))
     apart = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in _PARITIES), F.lit(0))
@@ -311,7 +329,13 @@ def similar_pairs(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame
     # its set only: whichever that is, so many tokens are left to be common.
     left = lambda n: F.expr(f"{n} - least({n}, {n} - ({n} * {percent} + 99) div 100 + wanted) + shared")
     common = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.greatest(left("na"), left("nb")), F.expr("(na + nb - apart) div 2"))
-    return pairs.filter("shared >= wanted").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b", (common / (F.col("na") + F.col("nb"))).alias("near"))
+    both = F.col("na") + F.col("nb")
+    found = pairs.filter("shared >= wanted").filter(100 * common >= percent * (both - common)).select("a", "b", (common / both).alias("near"))
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
+    found = checkpointed(found.select("a", "b", nearest.alias("turn")))
+    discard(lists)
+    release(lists.sparkSession)
+    return found
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -359,16 +383,17 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         add(new)
         if 50 * new.count() < pairs.count():  # what is left is hardly ever similar
             break
-    pairs = checkpointed(similar_pairs(_with_roots(met, roots), facts, percent))
-    release(spark)
-    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
-    pairs = checkpointed(pairs.withColumn("turn", nearest))
+    pairs = similar_pairs(_with_roots(met, roots), facts, percent)
     discard(met)
+    # With few pairs for each set, all are compared at once.
     first = pairs.filter(f"turn <= {NEAREST}")
+    if pairs.count() < 2 * first.count():
+        first = pairs
     if not first.isEmpty():
         add(verified(sets, first.select("a", "b"), percent))
-        ends = roots.select("node", "root")
+    if first is not pairs:
         rest = pairs.filter(f"turn > {NEAREST}")
+        ends = (roots if roots is not None else spark.createDataFrame([], "node long, root long")).select("node", "root")
         rest = rest.join(ends.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a", "left").join(ends.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left")
         rest = checkpointed(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
         if not rest.isEmpty():
