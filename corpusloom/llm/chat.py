@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .packing import Encoder, public_tokenizer
+
 OPEN, CLOSE = "<turn ", "</turn>\n"
 WINDOWS = "conv_id long, window long, text string, n_tokens long, repeated int, loss_start array<int>, loss_end array<int>"
 _CONTROL = re.compile(r"[\\<>]")
@@ -47,8 +49,8 @@ class Turn:
 class Windows:
     """Windows of one conversation, whose turns come in order. It holds the turns of one window and a limited history, however long the conversation is."""
 
-    def __init__(self, budget: int, history: int, target: str):
-        self.budget, self.target = budget, target
+    def __init__(self, budget: int, history: int, target: str, count: Callable[[str], int]):
+        self.budget, self.target, self.count = budget, target, count
         self.system: Turn | None = None
         self.past: deque[Turn] = deque(maxlen=history + 1)  # one more, for the prefix sum before the first
         self.new: list[Turn] = []
@@ -76,7 +78,7 @@ class Windows:
     def add(self, role: str, text: str) -> tuple | None:
         """Take a turn; a window that ends before it."""
         head, body = f"{OPEN}{escape(role)}>", escape(text)
-        self.total += len(text.split()) + 3  # the marks of a turn count as three
+        self.total += self.count(f"{head}{body}{CLOSE}")
         turn, done = Turn(role, head, body, self.total), None
         if self.new and self.size([turn], self.repeated) > self.budget:
             done = self.close()
@@ -105,10 +107,10 @@ class Windows:
         return done
 
 
-def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 4, target: str = "assistant") -> DataFrame:
+def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 4, target: str = "assistant", vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """Windows of the conversations (columns conv_id, turn, role, text), in order within each partition.
 
-    Prefix sums of the turns' tokens (words and three marks) choose spans of whole turns: a window takes turns while they fit the budget, and a turn
+    Prefix sums of the turns' tokens (ids of the formatted turn under vocabulary, by default the public one that packing uses) choose spans of whole turns: a window takes turns while they fit the budget, and a turn
     longer than that alone. Each later window begins with the conversation's system turn, if its first turn is one, and up to history of the turns before,
     within a quarter of the budget; those are repeated ones, and outside the loss. loss_start and loss_end are the spans, in code points, of the new
     texts whose role is target.
@@ -118,7 +120,11 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 4,
     in sorted order, of which the task holds one window.
     """
 
+    if vocabulary is None:
+        vocabulary, ranks = public_tokenizer()
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(vocabulary, ranks)
         names = [x.split()[0] for x in WINDOWS.split(", ")]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         out: list[tuple] = []
@@ -132,7 +138,7 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 4,
                 if open_ is None or c != conv:
                     if open_ is not None:
                         out.append((conv, *open_.close()))
-                    open_, conv = Windows(budget, history, target), c
+                    open_, conv = Windows(budget, history, target, lambda t: len(encode(t))), c
                 if done := open_.add(role or "", text or ""):
                     out.append((conv, *done))
                     size += len(done[1])

@@ -10,7 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -56,7 +56,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     has = np.bincount(np.repeat(np.arange(len(texts)), sizes)[letter], minlength=len(texts)) > 0
     code = np.where(letter, code, 32)[keep].astype(np.uint64)
     at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    grams = np.empty((len(code), 3), np.int64)
+    grams = np.empty((len(code), 3), np.int32)
     value = np.zeros(len(code), np.uint64)
     same = np.ones(len(code), bool)
     for n in range(3):
@@ -68,15 +68,16 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             same &= nearer
         value = (value * np.uint64(0x9E3779B97F4A7C15)) ^ (nth + np.uint64(n + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        grams[:, n] = np.where(same, mixed >> np.uint64(48), BUCKETS)  # a gram that would reach into the next text counts for nothing
+        grams[:, n] = np.where(same, (mixed >> np.uint64(48)).astype(np.int32), BUCKETS)  # a gram that would reach into the next text counts for nothing
     return grams.ravel(), at * 3, has
 
 
 def fit(labelled: DataFrame, per_language: int = DOCUMENTS_PER_LANGUAGE, smoothing: float = 0.1) -> LanguageModel:
     """Fit to the columns doc_id, text and lang.
 
-    Rows with a null label, or with no letters, teach nothing. Each language takes part with about per_language documents at most, chosen by the hash of
-    doc_id, so that the sample and what reaches the driver (a count for each bucket and language) don't grow with the table.
+    Rows with a null label, or with no letters, teach nothing. Each language takes part with about per_language documents, and never with more than twice as many, chosen
+    by the hash of doc_id and text, so that the sample and what reaches the driver (a count for each bucket and language) don't grow with the table. An empty table
+    teaches nothing.
     """
     rows = labelled.filter("lang is not null").select("doc_id", "text", "lang")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
@@ -85,7 +86,11 @@ def fit(labelled: DataFrame, per_language: int = DOCUMENTS_PER_LANGUAGE, smoothi
     if not totals:
         return LanguageModel([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     share = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1 << 20, -(-per_language * (1 << 20) // n)))))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.try_element_at(share, "lang"))
+    chosen = F.xxhash64("doc_id", "text")
+    sample = rows.filter(F.pmod(chosen, F.lit(1 << 20)) < F.try_element_at(share, "lang"))
+    # Repeated rows share a hash, and come together: there may be twice as many as meant, but no more.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(chosen))
+    sample = sample.withColumn("_turn", turn).filter(F.col("_turn") <= 2 * per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -130,7 +135,11 @@ def has_letters(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score in place of any columns of those names. Only the text decides; every row stays."""
+    """docs with lang_pred and score in place of any columns of those names.
+
+    Only the text decides; every row stays, repeated ones too, and equal texts have equal results. Of languages with equal scores the first by name is taken. A null
+    text, one without letters, and every text where nothing was learned, has und and 0. Other columns pass through; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
     schema = f"{kept.schema.simpleString()[7:-1]},lang_pred:string,score:double"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -68,48 +69,54 @@ OTHERS = (
     "The commons were open to the public in creative ways.",
     "The Mozilla foundation published a report.",
 )
-_SUFFIXES = ("", "-only", "-or-later")
-_CC = ("1.0", "2.0", "2.5", "3.0", "4.0")
+_VERSIONS = ("1", "2", "3", "4")
+# Abbreviations, identifiers and addresses as words, up to three, of which each names a licence by itself.
+NAMES: dict[str, tuple[str, ...]] = {
+    "apache": ("apache 1 0", "apache 1 1", "apache 2 0", "apache org licenses"),
+    "mit": ("identifier mit", "mit 0", "mit licensed", "org licenses mit"),
+    "bsd": ("0bsd", "bsd 1 clause", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "bsd licensed"),
+    "gpl": ("gpl", "gplv1", "gplv2", "gplv3"),
+    "lgpl": ("lgpl", "lgplv2", "lgplv3"),
+    "agpl": ("agpl", "agplv1", "agplv3"),
+    "mpl": ("mpl 1 0", "mpl 1 1", "mpl 2 0", "mplv1", "mplv2"),
+    "cc-by": tuple(f"{w} by {v}" for w in ("cc", "licenses") for v in _VERSIONS),
+    "cc-by-sa": ("cc by sa", "licenses by sa"),
+    "cc-by-nc": ("cc by nc", "licenses by nc"),
+    "public-domain": ("cc0", "unlicense", "publicdomain zero"),
+}
+# Words of any text, which say nothing about licences.
+STOP = frozenset("a an and any are as at be by can do for from has he if in into is it may must no not of on or our she so that the their them they this to under was were which will with without you your".split())
+_WORD = r"[A-Za-z0-9]+"
+#: A line that ends so, or has no word, ends a paragraph.
+_END = r"[.!?:;]\\s*$"
 
 
-def _gnu(name: str, versions: tuple[str, ...]) -> tuple[str, ...]:
-    return (name, *(f"{name}-{v}{s}" for v in versions for s in _SUFFIXES), *(f"{name}{w}{v.removesuffix('.0')}" for v in versions for w in ("v", " ", " v")), *(f"{name}{w}{v}" for v in versions for w in ("v", " ", " v")))
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in re.findall(_WORD, text)]
 
 
-def _creative(parts: tuple[str, ...]) -> tuple[str, ...]:
-    named = (f"cc{w}{p}{z}{v}" for p in parts for v in _CC for w, z in (("-", "-"), (" ", " "), ("-", " ")))
-    return (*named, *(f"{w}creativecommons.org licenses {p}" for p in parts for w in ("", "www.")))
+def ngrams(text: str) -> set[str]:
+    """The n-grams of 1 to 3 words."""
+    words = words_of(text)
+    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
-# Abbreviations, identifiers of SPDX and addresses, of 1 to 3 words, each of which names a licence by itself.
-NAMES: dict[str, tuple[str, ...]] = {
-    f: tuple(dict.fromkeys(names)) for f, names in {
-        "apache": ("apache-1.0", "apache-1.1", "apache-2.0", "www.apache.org licenses license-2.0", "apache.org licenses license-2.0"),
-        "mit": ("spdx-license-identifier mit", "mit-0", "mit-licensed", "opensource.org licenses mit"),
-        "bsd": ("0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "bsd 2-clause", "bsd 3-clause", "bsd-licensed"),
-        "gpl": _gnu("gpl", ("1.0", "2.0", "3.0")),
-        "lgpl": _gnu("lgpl", ("2.0", "2.1", "3.0")),
-        "agpl": _gnu("agpl", ("1.0", "3.0")),
-        "mpl": _gnu("mpl", ("1.0", "1.1", "2.0"))[1:],
-        "cc-by": _creative(("by",)),
-        "cc-by-sa": _creative(("by-sa",)),
-        "cc-by-nc": _creative(("by-nc", "by-nc-sa", "by-nc-nd")),
-        "public-domain": ("cc0", "cc0-1.0", "unlicense", "unlicense.org", "creativecommons.org publicdomain zero"),
-    }.items()
-}
-#: Words of which a part between hyphens and dots is one of these, or starts with it, are cues. A paragraph without any has none of the features, which are
-#: the n-grams that hold one.
-CUES = ("copyright", "permission", "redistribution", "redistribute", "reserved", "gnu", "apache", "mit", "bsd", "0bsd", "mozilla", "cc", "cc0", "creative", "commons", "domain", "unencumbered", "warranty", "spdx", r"[al]?gpl(?:v?[0-9]+)?", r"mpl(?:v?[0-9]+)?")
-CUE_STARTS = ("licen[cs]", "unlicen[cs]", "relicen[cs]", "sublicen[cs]", "creativecommons", "copyleft")
-CUE = rf"(?i)(?<![A-Za-z0-9])(?:(?:{'|'.join(CUE_STARTS)})|(?:{'|'.join(CUES)})(?![A-Za-z0-9]))"
-_WORD = r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*"
+@cache
+def anchors() -> frozenset[str]:
+    """The words of templates and names but for STOP, numbers and those of one or two letters (cc stays).
 
+    The features are the n-grams that hold one, so that a paragraph without any has the bias for its score, which means UNKNOWN, and no template's half.
+    """
+    texts = [t for ts in TEMPLATES.values() for t in ts] + [n for ns in NAMES.values() for n in ns]
+    return frozenset(w for t in texts for w in words_of(t) if w not in STOP and not w.isdigit() and (len(w) > 2 or w == "cc"))
+
+
+def anchor_pattern() -> str:
+    return rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(sorted(anchors()))})(?![A-Za-z0-9])"
 
-def ngrams(text: str) -> set[str]:
-    """The n-grams of 1 to 3 words that hold a cue."""
-    words = [w.lower() for w in re.findall(_WORD, text, re.ASCII)]
-    held = [re.search(CUE, w, re.ASCII) is not None for w in words]
-    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if any(held[i : i + n])}
+
+def features(text: str) -> set[str]:
+    return {g for g in ngrams(text) if not anchors().isdisjoint(g.split())}
 
 
 @dataclass(frozen=True)
@@ -117,17 +124,25 @@ class LicenseModel:
     families: list[str]  # the last is UNKNOWN
     weights: dict[str, list[float]]
     bias: list[float]
+    #: what logits are divided by, so that probabilities are those that templates which weren't taught have
+    temperature: float
     #: the least probability of a family that isn't put down to UNKNOWN
     threshold: float
-    templates: list[tuple[str, int, str, int]]  # family, number, n-gram, n-grams of the template
-    names: dict[str, str]  # family of each name
+    #: of the held-out texts, by tenths of the likeliest class's probability: how many, their mean probability and how many were right
+    reliability: list[tuple[int, float, float]]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
 
 
 @cache
-def train(seed: int = 0, copies: int = 12, rounds: int = 150, rate: float = 1.0, decay: float = 1e-4) -> LicenseModel:
+def train(seed: int = 0, copies: int = 8, rounds: int = 120, rate: float = 1.0, decay: float = 1e-4, folds: int = 4) -> LicenseModel:
     """Fit to the templates and names and to copies of them with words lost, doubled or set among others; OTHERS teach UNKNOWN.
 
-    The threshold is the probability at which, on copies that were held out, the most are told rightly apart from held-out copies of OTHERS.
+    Temperature and threshold come from texts that weren't taught: in each of some folds a part of the templates and of OTHERS is left out whole, with all
+    of its copies, and judged by a model of the rest. The temperature makes these texts' classes likeliest, the threshold tells the most of them rightly.
     """
     rng = random.Random(seed)
     filler = "in the and of to with for that this on by as an is it from are at be or".split()
@@ -139,98 +154,125 @@ def train(seed: int = 0, copies: int = 12, rounds: int = 150, rate: float = 1.0,
         words[at:at] = rng.choices(filler, k=rng.randrange(3))
         return " ".join(rng.choices(filler, k=rng.randrange(4)) + words + rng.choices(filler, k=rng.randrange(6)))
 
-    def sample(n: int) -> list[tuple[set[str], int]]:
-        known = [(t, families.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, len(families) - 1) for t in OTHERS]
-        rows = [(ngrams(t if i == 0 else variant(t)), y) for t, y in known for i in range(n)]
-        # Families have few names or many, and teach about as much by them.
-        forms = lambda name: (name, f"Licensed under {name}.", f"SPDX-License-Identifier: {name}")
-        return rows + [(ngrams(t), families.index(f)) for f, names in NAMES.items() for name in names for t in forms(name) for _ in range(n * 4 // len(names) + 1)]
-
-    taught, held = sample(copies), sample(3)
-    vocabulary = sorted({g for grams, _ in taught for g in grams})
+    known = [(t, families.index(f), i) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)] + [(t, len(families) - 1, i) for i, t in enumerate(OTHERS)]
+    rows = [(features(t if k == 0 else variant(t)), y, i % folds) for t, y, i in known for k in range(copies)]
+    # Families have few names or many, and teach about as much by them; names are never held out.
+    forms = lambda name: (name, f"Licensed under {name}.", f"SPDX-License-Identifier: {name}")
+    rows += [(features(t), families.index(f), -1) for f, names in NAMES.items() for name in names for t in forms(name) for _ in range(copies * 2 // len(names) + 1)]
+    # Texts with words of anyone's teach that a few such words are no licence.
+    rows += [(features(" ".join(rng.choices(filler, k=8) + rng.sample(sorted(anchors()), 1))), len(families) - 1, -1) for _ in range(copies * len(OTHERS))]
+    vocabulary = sorted({g for grams, _, _ in rows for g in grams})
     number = {g: i for i, g in enumerate(vocabulary)}
-
-    def matrix(rows: list[tuple[set[str], int]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(vocabulary) + 1))
-        x[:, -1] = 1
-        for i, (grams, _) in enumerate(rows):
-            x[i, [number[g] for g in grams if g in number]] = 1
-        return x
-
-    def posterior(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        z = np.exp((z := x @ w) - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
-
-    x, y = matrix(taught), np.eye(len(families))[[y for _, y in taught]]
-    w, speed = np.zeros((x.shape[1], len(families))), np.zeros((x.shape[1], len(families)))
-    for _ in range(rounds):
-        speed = 0.9 * speed - rate * (x.T @ (posterior(x, w) - y) / len(x) + decay * w)
-        w += speed
-    p, truth = posterior(matrix(held), w), np.array([y for _, y in held])
+    x, truth, fold = np.zeros((len(rows), len(vocabulary) + 1)), np.array([y for _, y, _ in rows]), np.array([k for *_, k in rows])
+    x[:, -1] = 1
+    for i, (grams, _, _) in enumerate(rows):
+        x[i, [number[g] for g in grams]] = 1
+
+    def fit(some: np.ndarray) -> np.ndarray:
+        a, y = x[some], np.eye(len(families))[truth[some]]
+        w, speed = np.zeros((a.shape[1], len(families))), np.zeros((a.shape[1], len(families)))
+        for _ in range(rounds):
+            speed = 0.9 * speed - rate * (a.T @ (_softmax(a @ w) - y) / len(a) + decay * w)
+            w += speed
+        return w
+
+    left = np.zeros((len(rows), len(families)))
+    for k in range(folds):
+        left[fold == k] = x[fold == k] @ fit(fold != k)
+    left, held = left[fold >= 0], truth[fold >= 0]
+    temperature = float(min(np.linspace(0.5, 5, 46), key=lambda t: -np.log(_softmax(left / t)[np.arange(len(held)), held]).sum()))
+    p = _softmax(left / temperature)
     best, top = p[:, :-1].argmax(1), p[:, :-1].max(1)
-    right = [(((top >= t) & (best == truth)) | ((top < t) & (truth == len(families) - 1))).sum() for t in np.linspace(0.3, 0.9, 61)]
-    threshold = float(np.linspace(0.3, 0.9, 61)[int(np.argmax(right))])
-    table = np.round(w, 6)
-    shapes = [(f, i, g, len(grams)) for f, ts in TEMPLATES.items() for i, grams in enumerate(map(ngrams, ts)) for g in sorted(grams)]
-    return LicenseModel(families, {g: table[i].tolist() for g, i in number.items()}, table[-1].tolist(), threshold, shapes, {g: f for f, names in NAMES.items() for g in names})
+    levels = np.linspace(0.2, 0.9, 71)
+    right = [(((top >= t) & (best == held)) | ((top < t) & (held == len(families) - 1))).sum() for t in levels]
+    bins = np.minimum((p.max(1) * 10).astype(int), 9)
+    reliability = [(int((bins == b).sum()), float(p.max(1)[bins == b].mean()), float((p.argmax(1) == held)[bins == b].mean())) for b in range(10) if (bins == b).any()]
+    table = np.round(fit(np.ones(len(rows), bool)), 6)
+    return LicenseModel(families, {g: table[i].tolist() for g, i in number.items()}, table[-1].tolist(), temperature, float(levels[int(np.argmax(right))]), reliability)
+
+
+def shapes() -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
+    """The family of each template (a family's names are one more), and for each n-gram the templates that have it with its share of each; a name is the whole."""
+    found: dict[str, list[tuple[int, float]]] = {}
+    owners: list[str] = []
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            grams = ngrams(text)
+            for g in grams:
+                found.setdefault(g, []).append((len(owners), 1 / len(grams)))
+            owners.append(family)
+        for name in NAMES.get(family, ()):
+            found.setdefault(name, []).append((len(owners), 1.0))
+        owners.append(family)
+    return owners, found
+
+
+def paragraphs(text: Column) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives each row its paragraphs, as line (where each begins) and paragraph.
+
+    Wrapped lines are one paragraph: it goes on until a line that ends a sentence or has no word.
+    """
+    blank = "not lines[{0}] rlike '[A-Za-z0-9]'"
+    starts = f"filter(sequence(0, size(lines) - 1), i -> i = 0 or {blank.format('i')} or {blank.format('i - 1')} or lines[i - 1] rlike '{_END}')"
+    runs = "transform(starts, (s, k) -> struct(s as line, array_join(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), ' ') as paragraph))"
+
+    def add(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.inline(F.array(F.struct(F.split(text, "\n", -1).alias("lines")))))
+        rows = rows.select("*", F.inline(F.array(F.struct(F.expr(starts).alias("starts")))))
+        return rows.select("*", F.inline(F.expr(runs))).drop("lines", "starts")
+
+    return add
 
 
-def _grams(paragraph: Column) -> tuple[Column, Column]:
-    """The words of a paragraph, and of the column `words` its ngrams()."""
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), F.lit(0))
-    held = f"x -> exists(x, w -> w rlike r'{CUE}')"
-    runs = [f"if(size(words) < {n}, array(), transform(sequence(1, size(words) - {n - 1}), i -> slice(words, i, {n})))" for n in (1, 2, 3)]
-    return words, F.expr(f"array_distinct(transform(filter(concat({', '.join(runs)}), {held}), x -> array_join(x, ' ')))")
+def _grams(words: str) -> str:
+    """SQL for the n-grams of an array of words, each once, and the empty one, which counts how often a paragraph comes."""
+    runs = [f"if(size({words}) < {n}, array(), transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')))" for n in (1, 2, 3)]
+    return f"array_distinct(concat({', '.join(runs)}, array('')))"
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, similar: float = 0.5) -> DataFrame:
-    """doc_id, line, family, probability and similarity of each paragraph (line) that holds a cue.
+    """text_hash, line, family, probability and similarity of each paragraph of the column text that holds one of anchors().
 
-    family is the likeliest if its probability reaches the model's threshold and at least the share similar of a template of the family, or one of its
-    names, is in the paragraph; else unknown. Each paragraph is judged by sums over its n-grams.
+    family is the likeliest class if its probability reaches the model's threshold and at least the share similar of the n-grams of a template of the family, or
+    one of its names, is in the paragraph; else unknown. Each paragraph is judged by sums over its n-grams; equal texts are judged once, however often they come.
     """
     model = model or train()
-    spark = docs.sparkSession
-    rows = docs.filter(F.col("text").rlike(CUE)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "paragraph")).filter(F.col("paragraph").rlike(CUE))
-    words, grams = _grams(F.col("paragraph"))
-    rows = rows.withColumn("words", words).select("doc_id", F.xxhash64("paragraph").alias("p"), "line", F.explode_outer(grams).alias("gram"))
-
-    families = model.families[:-1]
-    weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
-    shapes: dict[str, list[tuple[int, float]]] = {}
-    templates = sorted({(f, i) for f, i, _, _ in model.templates})
-    for f, i, g, n in model.templates:
-        shapes.setdefault(g, []).append((templates.index((f, i)), 1 / n))
-    # The names of a family are one more template, of which each is the whole.
-    templates += [(f, -1) for f in families]
-    for g, f in model.names.items():
-        shapes.setdefault(g, []).append((templates.index((f, -1)), 1.0))
-    overlap = spark.createDataFrame([(g, [dict(x).get(t, 0.0) for t in range(len(templates))]) for g, x in shapes.items()], "gram string, s array<double>")
-    # Fixed tables, of a few thousand n-grams.
-    scored = rows.join(F.broadcast(weights), "gram", "left").join(F.broadcast(overlap), "gram", "left")
-    sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(model.families))] + [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(templates))]
-    scored = scored.groupBy("doc_id", "line", "p").agg(*sums)
-    logits = F.array(*(F.coalesce(f"w{i}", F.lit(0.0)) + b for i, b in enumerate(model.bias)))
-    near = F.array(*(F.greatest(F.lit(0.0), *(F.least(F.coalesce(f"s{t}", F.lit(0.0)), F.lit(1.0)) for t, (g, _) in enumerate(templates) if g == f)) for f in families))
-    scored = scored.select("doc_id", "line", logits.alias("z"), near.alias("near"))
+    spark, pattern = docs.sparkSession, anchor_pattern()
+    texts = docs.select("text").filter(F.col("text").rlike(pattern)).select(F.xxhash64("text").alias("text_hash"), "text")
+    rows = paragraphs(F.col("text"))(texts).drop("text").filter(F.col("paragraph").rlike(pattern))
+    rows = rows.select("text_hash", "line", F.inline(F.array(F.struct(F.regexp_extract_all(F.lower("paragraph"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words")))))
+    rows = rows.select("text_hash", "line", F.explode(F.expr(_grams("words"))).alias("gram"))
+
+    families, (owners, found) = model.families[:-1], shapes()
+    zero, none = [0.0] * len(model.families), [0.0] * len(owners)
+    spread = lambda pairs: [dict(pairs).get(t, 0.0) for t in range(len(owners))]
+    grams = {""} | set(model.weights) | set(found)
+    # A fixed table, of a few thousand n-grams.
+    table = spark.createDataFrame([(g, model.bias if g == "" else model.weights.get(g, zero), spread(found[g]) if g in found else none, int(g == "")) for g in sorted(grams)], "gram string, w array<double>, s array<double>, one int")
+    scored = rows.join(F.broadcast(table), "gram")
+    sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(model.families))] + [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(owners))]
+    scored = scored.groupBy("text_hash", "line").agg(F.sum("one").alias("copies"), *sums)
+    logits = F.array(*(F.col(f"w{i}") / F.col("copies") / model.temperature for i in range(len(model.families))))
+    near = F.array(*(F.greatest(F.lit(0.0), *(F.least(F.col(f"s{t}") / F.col("copies"), F.lit(1.0)) for t, g in enumerate(owners) if g == f)) for f in families))
+    scored = scored.select("text_hash", "line", logits.alias("z"), near.alias("near"))
     scored = scored.withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))")).withColumn("total", F.expr("aggregate(e, 0D, (a, x) -> a + x)"))
     scored = scored.withColumn("known", F.expr(f"slice(e, 1, {len(families)})")).withColumn("best", F.expr("array_position(known, array_max(known))").cast("int"))
     probability, similarity = F.expr("array_max(known) / total"), F.expr("element_at(near, best)")
     names = F.array(*(F.lit(f) for f in families))
     family = F.when((probability >= model.threshold) & (similarity >= similar), F.element_at(names, F.col("best"))).otherwise(UNKNOWN)
-    return scored.select("doc_id", "line", family.alias("family"), probability.alias("probability"), similarity.alias("similarity"))
+    return scored.select("text_hash", "line", family.alias("family"), probability.alias("probability"), similarity.alias("similarity"))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, family, probability, similarity and n_paragraphs.
 
-    family is that of the confirmed paragraph with the highest probability (then the last by name); unknown if paragraphs hold cues but none is
-    confirmed; null, as are probability and similarity, if none does or the text is null or empty. Rows with one doc_id share their paragraphs; other columns are
-    ignored; an empty table gives no rows. Only ids are joined, never texts.
+    family is that of the confirmed paragraph with the highest probability (then the last by name); unknown if paragraphs hold anchors but none is
+    confirmed; null, as are probability and similarity, if none does or the text is null or empty. A text decides, whatever its doc_id: equal texts have equal
+    results, and rows of one doc_id or none are judged each for itself. Other columns are ignored; an empty table gives no rows. Only hashes and ids are joined, never texts.
     """
     found = license_paragraphs(docs, model)
     rank = F.struct((F.col("family") != UNKNOWN).alias("a"), F.round("probability", 9).alias("b"), F.col("family").alias("c"), F.round("similarity", 9).alias("d"))
-    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(rank).alias("top"), F.count("*").alias("n"))
-    ids = docs.select("doc_id")
-    joined = ids.join(found, ids["doc_id"].eqNullSafe(found["_id"]), "left")
+    found = found.groupBy("text_hash").agg(F.max(rank).alias("top"), F.count("*").alias("n"))
+    rows = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"))
+    joined = rows.join(found, "text_hash", "left")
     return joined.select("doc_id", F.col("top.c").alias("family"), F.col("top.b").alias("probability"), F.col("top.d").alias("similarity"), F.coalesce("n", F.lit(0)).alias("n_paragraphs"))

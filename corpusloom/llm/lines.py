@@ -142,17 +142,19 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_L
     return _without(whole, names).unionByName(rest)
 
 
-BITS = 22
+#: A bitmap has at least 16 bits for each key, within these powers of two.
+LEAST_BITS, MOST_BITS = 20, 26
 
 
 def _in_bitmap(keys: DataFrame):
     """A function that adds the column _in to a frame: whether its hash `tie` may be among those of keys.
 
-    It goes by 2**BITS bits, whose size doesn't depend on the number of keys: with few keys hardly any other row is let through, with very many all are.
+    It goes by a bitmap of up to 2**MOST_BITS bits (8 MB), which is broadcast: with few keys hardly any other row is let through, with very many all are.
     """
-    place = F.pmod(F.col("tie"), F.lit(1 << BITS))
+    size = min(1 << MOST_BITS, max(1 << LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(F.col("tie"), F.lit(size))
     words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-    bits = [0] * (1 << BITS - 6)
+    bits = [0] * (size >> 6)
     for row in words.toLocalIterator():
         bits[row["word"]] = row["bits"]
     table = keys.sparkSession.createDataFrame([(1, bits)], "_one int, _bits array<long>")

@@ -16,8 +16,7 @@ from .words import text_bytes, word_spans
 
 #: A plan is made for so many sources at most; more are no sources, and an error.
 MOST_SOURCES = 100_000
-#: The counts that the driver draws: shards times sources.
-MOST_CELLS = 4_000_000
+#: Slots of an output shard, on average.
 SHARD_SLOTS = 65_536
 #: Rows of a source between which prefix sums are kept.
 RANGE_ROWS = 4_096
@@ -62,23 +61,14 @@ def plan_sources(totals: list[tuple[str | None, int, int]], weights: Sequence[fl
     return found
 
 
-def draw_counts(slots: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """Multinomial counts of each source's slots in each shard, a row for a shard.
-
-    A shard draws with the shares that its sources still have to give, and no source gives more than it has, so that over all shards each gives
-    exactly its slots.
-    """
-    left = np.array(slots, np.int64)
-    counts = np.zeros((shards, len(left)), np.int64)
-    for shard in range(shards):
-        rng = np.random.default_rng([seed, shard])
-        wanted = -(-int(left.sum()) // (shards - shard))
-        while wanted:
-            drawn = np.minimum(rng.multinomial(wanted, left / left.sum()), left)
-            counts[shard] += drawn
-            left -= drawn
-            wanted -= int(drawn.sum())
-    return counts
+def draw_counts(slots: int, shards: int, key: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that a source gives slots to, and how many: a multinomial draw of all its slots over the shards, so that it gives exactly its slots."""
+    rng = np.random.default_rng(list(key))
+    if slots < shards:
+        return np.unique(rng.integers(0, shards, slots), return_counts=True)
+    counts = rng.multinomial(slots, np.full(shards, 1 / shards))
+    some = np.flatnonzero(counts)
+    return some, counts[some]
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -116,7 +106,7 @@ def sized(docs: DataFrame) -> DataFrame:
 class Mixture:
     #: a row for each document: doc_id, source, size, tie, source_no, and start, the place of its first word among its source's
     documents: DataFrame
-    #: a row for each part of a document in a slot: shard, slot, source_no, epoch, block, start (the document's), word (the part's first) and n_words
+    #: a row for each part of a document in a slot: shard, slot (numbers by which a shard's slots are ordered), source_no, epoch, block, start (the document's), word (the part's first) and n_words
     parts: DataFrame
     sources: list[Source]
 
@@ -124,11 +114,11 @@ class Mixture:
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, block: int = BLOCK_WORDS, seed: int = 0) -> Mixture:
     """Mix the columns doc_id, text and source to targets(); no block, and so no word, is taken more than most times.
 
-    The words of a source's documents, in an order by hash, are packed into blocks. The counts of each output shard are drawn by draw_counts(). The
-    k-th slot of a source takes block permuted(k mod blocks) of its epoch, k div blocks, and joins the documents' parts by that index.
+    The words of a source's documents, in an order by hash, are packed into blocks. In a task for each source draw_counts() deals its slots out to the output
+    shards. The k-th slot of a source takes block permuted(k mod blocks) of its epoch, k div blocks, and joins the documents' parts by that index.
 
     Null texts have no words; null is a source; repeated rows are documents of their own, each with its place; other columns are ignored; an empty table gives no rows.
-    Only a row for each source is gathered, and the number of counts that the driver draws is bounded.
+    Only a row for each source is gathered.
     """
     spark = docs.sparkSession
     rows = written(sized(docs))
@@ -152,34 +142,36 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     blocks = blocks.select("source_no", "block", "start", (begin - F.col("start")).alias("word"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("n_words"))
 
     total = sum(s.slots for s in sources)
-    shards = max(1, min(-(-total // SHARD_SLOTS), MOST_CELLS // max(1, len(sources))))
-    counts = draw_counts([s.slots for s in sources], shards, seed)
-    given = np.cumsum(counts, 0) - counts
-    names, n_blocks = [s.name for s in sources], [s.blocks for s in sources]
-    plan = spark.createDataFrame([(i, c.tolist(), g.tolist()) for i, (c, g) in enumerate(zip(counts, given, strict=True))], "shard long, counts array<long>, given array<long>").repartition(min(shards, 4096), "shard")
+    shards, tasks = max(1, -(-total // SHARD_SLOTS)), max(1, min(-(-total // SHARD_SLOTS), 4096))
+    facts = [(i, s.slots, s.blocks) for i, s in enumerate(sources) if s.slots]
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                source = np.repeat(np.arange(len(names)), row["counts"])
-                epoch, at = np.zeros(len(source), np.int64), np.zeros(len(source), np.int64)
-                place = 0
-                for s, n in enumerate(row["counts"]):
-                    k = row["given"][s] + np.arange(n)
-                    for e in np.unique(k // n_blocks[s]) if n else ():
-                        here = place + np.flatnonzero(k // n_blocks[s] == e)
-                        epoch[here] = e
-                        at[here] = permuted(k[here - place] % n_blocks[s], n_blocks[s], int(mix(np.array([(seed * MOST_SOURCES + s) * 1024 + int(e)], np.uint64))[0]))
-                    place += n
-                slot = np.random.default_rng([seed, row["shard"], 1]).permutation(len(source))
-                for i in range(0, len(source), SHARD_SLOTS):
+                shard, n = draw_counts(row["slots"], shards, [seed, row["source_no"]])
+                given = np.cumsum(n) - n
+                for i in range(0, len(n), SHARD_SLOTS):
                     j = slice(i, i + SHARD_SLOTS)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(slot[j]), row["shard"])), pa.array(slot[j]), pa.array(source[j].astype(np.int32)), pa.array(epoch[j].astype(np.int32)), pa.array(at[j])],
-                        ["shard", "slot", "source_no", "epoch", "block"],
-                    )
+                    same = [np.full(len(n[j]), row[c]) for c in ("source_no", "blocks")]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard[j], *same, n[j], given[j])], ["shard", "source_no", "blocks", "n", "given"])
 
-    drawn = plan.mapInArrow(slots, "shard long, slot long, source_no int, epoch int, block long")
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for i in range(0, row["n"], SHARD_SLOTS):
+                    k = row["given"] + np.arange(i, min(i + SHARD_SLOTS, row["n"]))
+                    epoch, block = k // row["blocks"], np.zeros(len(k), np.int64)
+                    for e in np.unique(epoch).tolist():
+                        key = int(mix(np.array([(seed * MOST_SOURCES + row["source_no"]) * 1024 + e], np.uint64))[0])
+                        block[epoch == e] = permuted(k[epoch == e] % row["blocks"], row["blocks"], key)
+                    # The order of a shard's slots is that of these numbers.
+                    slot = (mix(k.astype(np.uint64) * np.uint64(MOST_SOURCES) + np.uint64(row["source_no"])) >> np.uint64(1)).astype(np.int64)
+                    same = [pa.array(np.full(len(k), row["shard"])), pa.array(slot), pa.array(np.full(len(k), row["source_no"], np.int32))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(epoch.astype(np.int32)), pa.array(block)], ["shard", "slot", "source_no", "epoch", "block"])
+
+    plan = spark.createDataFrame(facts, "source_no long, slots long, blocks long").repartition(max(1, min(len(facts), 4096)), "source_no")
+    cells = plan.mapInArrow(draw, "shard long, source_no long, blocks long, n long, given long").repartition(tasks, "shard", "source_no")
+    drawn = cells.mapInArrow(slots, "shard long, slot long, source_no int, epoch int, block long")
     # The planner takes the slots for as few as the shards, and would broadcast them.
     return Mixture(documents, drawn.join(blocks.hint("merge"), ["source_no", "block"]), sources)
 

@@ -144,5 +144,9 @@ def pack(pieces: DataFrame, length: int = 1024, group_pieces: int = GROUP_PIECES
 
 
 def pack_documents(docs: DataFrame, length: int = 1024, end_id: int = 2, **tokenizer) -> DataFrame:
-    """The place of every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """The place of every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text counts as empty, and has the end's id alone; repeated rows, and rows without doc_id, are documents of their own; pieces of equal length
+    are placed in the order of a run's numbers; other columns are ignored; an empty table gives no rows.
+    """
     return pack(written(token_pieces(docs, length, end_id, **tokenizer)), length).drop("uid")

@@ -13,7 +13,7 @@ from .common import checkpointed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,10 @@ from .components import components
 
 #: Codebooks are fitted on about so many vectors of a dimension, chosen by hash.
 SAMPLE = 20_000
-LISTS, LIST_ROWS = 1_024, 4_096
+#: There are about so many lists for each square root of the vectors; no more than MOST_LISTS, beyond which lists grow and meet in blocks.
+LISTS, MOST_LISTS = 1.5, 2_048
+#: Neighbouring lists are a group, whose vectors, about so many, meet in one task.
+GROUP_ROWS = 4_096
 SUBSPACES, CODES = 8, 256
 #: Vectors of a dimension beyond these are an error: each has codebooks of its own.
 MOST_DIMENSIONS = 100
@@ -27,9 +31,10 @@ SLACK = 1e-4
 
 @dataclass(frozen=True)
 class Codebooks:
-    """Centres of the lists, and for each subspace (a range of components) the code words of residuals."""
+    """Centres of the lists and their groups, and for each subspace (a range of components) the code words of residuals."""
 
     centres: np.ndarray
+    group: np.ndarray
     ranges: list[tuple[int, int]]
     words: list[np.ndarray]
 
@@ -53,12 +58,13 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray
     return centres
 
 
-def fit(sample: np.ndarray, lists: int) -> Codebooks:
+def fit(sample: np.ndarray, lists: int, groups: int) -> Codebooks:
     centres = cluster(sample, max(1, min(lists, len(sample) // 8)))
+    heads = cluster(centres, max(1, min(groups, len(centres))))
     residual = sample - centres[squared_distances(sample, centres).argmin(1)]
     edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int).tolist()
     ranges = list(zip(edges, edges[1:], strict=False))
-    return Codebooks(centres, ranges, [cluster(residual[:, a:b], CODES) for a, b in ranges])
+    return Codebooks(centres, squared_distances(centres, heads).argmin(1).astype(np.int32), ranges, [cluster(residual[:, a:b], CODES) for a, b in ranges])
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -84,15 +90,24 @@ def codebooks(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Codebooks]:
         chosen = classes.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < share)).limit(2 * sample)
         column = chosen.orderBy("cid").select(F.col("embedding").cast("array<double>")).toArrow().column(0).combine_chunks()
         x = _unit(column) if len(column) else np.ones((1, dim)) / np.sqrt(dim)
-        found[dim] = fit(x, min(LISTS, max(1, n // LIST_ROWS)))
+        found[dim] = fit(x, min(MOST_LISTS, math.ceil(LISTS * math.sqrt(n))), max(1, n // GROUP_ROWS))
     return found
 
 
-INDEX = "cid long, label int, dim int, rows long, list int, probes array<int>, codes binary, error double, vector binary"
+INDEX = "cid long, label int, dim int, rows long, list int, group int, visited array<int>, codes binary, error double, vector binary"
+
+
+def margins(book: Codebooks, far: np.ndarray, home: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """How far vectors are, at least, from anything in some lists: from the planes halfway between the centres of their own lists and of those.
+
+    far holds the squared distances of the vectors from all centres.
+    """
+    between = np.sqrt(squared_distances(book.centres[home], book.centres[lists]))
+    return (far[:, lists] - far[np.arange(len(far)), home][:, None]) / np.maximum(2 * between, 1e-300)
 
 
 def index(classes: DataFrame, books: dict[int, Codebooks], radius: float) -> DataFrame:
-    """Every vector's list, residual codes and their error, its unit vector, and the further lists that it must be compared in.
+    """Every vector's list and group, residual codes and their error, its unit vector, and the further groups that it must be compared in.
 
     Whatever lies within radius of a vector and in another list lies beyond the plane halfway between the two centres. So the probes are just the lists
     whose plane is no farther than radius; of two lists, the vectors of the lower one visit the other.
@@ -104,19 +119,18 @@ def index(classes: DataFrame, books: dict[int, Codebooks], radius: float) -> Dat
             dims = whole.column("dim").to_numpy()
             for dim in np.unique(dims):
                 b, batch = shared.value[int(dim)], whole.filter(pa.array(dims == dim))
-                between = np.sqrt(squared_distances(b.centres, b.centres)) + np.eye(len(b.centres))
+                every = np.arange(len(b.centres))
                 for start in range(0, len(batch), 1024):
                     part = batch.slice(start, 1024)
                     x = _unit(part.column("embedding"))
                     far = squared_distances(x, b.centres)
                     home = far.argmin(1)
-                    margin = (far - far[np.arange(len(x)), home][:, None]) / (2 * between[home])
-                    visits = (margin <= radius + SLACK) & (np.arange(len(b.centres)) > home[:, None])
+                    visits = (margins(b, far, home, every) <= radius + SLACK) & (every > home[:, None]) & (b.group != b.group[home][:, None])
                     residual = x - b.centres[home]
                     codes = np.stack([squared_distances(residual[:, s:e], w).argmin(1) for (s, e), w in zip(b.ranges, b.words, strict=True)], 1)
                     error = np.linalg.norm(residual - b.decode(codes), axis=1)
                     columns = [part.column(n) for n in ("cid", "label", "dim", "rows")]
-                    columns += [pa.array(home.astype(np.int32)), pa.array([np.flatnonzero(v).astype(np.int32) for v in visits], pa.list_(pa.int32()))]
+                    columns += [pa.array(home.astype(np.int32)), pa.array(b.group[home]), pa.array([np.unique(b.group[v]) for v in visits], pa.list_(pa.int32()))]
                     columns += [pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(error), pa.array([v.tobytes() for v in x], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
 
@@ -142,34 +156,53 @@ def _joined(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
 LINKS = "cid long, links long, root long"
 
 
-def _meet(book: Codebooks, home: int, members: pa.Table, guests: pa.Table, inner: bool, radius: float, cosine: float) -> pa.Table:
-    """Compare members of list home with guests and, if inner, with each other: for each vector its links here and the least vector that they connect it to."""
-    dim = book.centres.shape[1]
+def _meet(book: Codebooks, block: int, members: pa.Table, guests: pa.Table, inner: bool, radius: float, cosine: float) -> pa.Table:
+    """Compare members with guests and, if inner, with each other, list by list: for each vector its links here and the least vector that they connect it to.
+
+    The squared distance from a vector q to a list's centre c plus code words w is |q - c|^2 + (|w|^2 + 2 c w) - 2 q w: the bracket belongs to the member, and the
+    last term is looked up in a table for each vector and subspace, whatever the list.
+    """
+    dim, own = book.centres.shape[1], len(members)
+    members = members.sort_by("list")
     read = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(-1, dim)
-    cids = np.concatenate([members.column("cid").to_numpy(), guests.column("cid").to_numpy()])
-    rows = np.concatenate([members.column("rows").to_numpy(), guests.column("rows").to_numpy()])
-    x, own = np.concatenate([read(members), read(guests)]), len(members)
+    both = lambda c: np.concatenate([members.column(c).to_numpy(), guests.column(c).to_numpy()])
+    cids, rows, home, x = both("cid"), both("rows"), both("list"), np.concatenate([read(members), read(guests)])
     codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(own, -1)
-    error = members.column("error").to_numpy().astype(np.float32)
+    limit = (radius + members.column("error").to_numpy().astype(np.float32) + np.float32(SLACK)) ** 2
+    came = guests.column("from").to_numpy()
+    same = np.concatenate([np.ones(own, bool), (came >= 0) & (came < block)])
+    here, first = np.unique(home[:own], return_index=True)
+    last = np.append(first[1:], own)
+    fixed = np.zeros(own, np.float32)
+    for m, ((s, e), w) in enumerate(zip(book.ranges, book.words, strict=True)):
+        fixed += ((w * w).sum(1)[codes[:, m]] + 2 * np.einsum("ij,ij->i", book.centres[home[:own], s:e], w[codes[:, m]])).astype(np.float32)
     links, found = np.zeros(len(cids), np.int64), []
-    limit = (radius + error + np.float32(SLACK)) ** 2
-    for start in range(0 if inner else own, len(cids), 256):
-        q = x[start : start + 256]
-        shifted = q - book.centres[home]
-        far = np.zeros((len(q), own), np.float32)
-        for m, ((s, e), w) in enumerate(zip(book.ranges, book.words, strict=True)):
-            far += squared_distances(shifted[:, s:e], w).astype(np.float32)[:, codes[:, m]]
-        near = far <= limit
-        if start < own:
-            near &= np.arange(own)[None] < np.arange(start, start + len(q))[:, None]  # of members each pair once
-        a, b = np.nonzero(near)
-        a += start
-        for i in range(0, len(a), 65_536):
-            p, r = a[i : i + 65_536], b[i : i + 65_536]
-            linked = np.einsum("ij,ij->i", x[p], x[r]) >= cosine
-            p, r = p[linked], r[linked]
-            links += (np.bincount(p, rows[r], len(cids)) + np.bincount(r, rows[p], len(cids))).astype(np.int64)
-            found.append((p, r))
+
+    def rerank(p: np.ndarray, r: np.ndarray) -> None:
+        for i in range(0, len(p), 65_536):
+            a, b = p[i : i + 65_536], r[i : i + 65_536]
+            linked = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            a, b = a[linked], b[linked]
+            links[:] += (np.bincount(a, rows[b], len(cids)) + np.bincount(b, rows[a], len(cids))).astype(np.int64)
+            found.append((a, b))
+
+    for start in range(0 if inner else own, len(cids), 512):
+        q, at = x[start : start + 512], home[start : start + 512]
+        tables = [(-2 * q[:, s:e] @ w.T).astype(np.float32) for (s, e), w in zip(book.ranges, book.words, strict=True)]
+        far = squared_distances(q, book.centres)
+        probed = (margins(book, far, at, here) <= radius + SLACK) & (here > at[:, None])
+        # A list meets itself, too, and what lies in a lower block of its group.
+        probed |= (here == at[:, None]) & same[start : start + len(q)][:, None]
+        for k in np.flatnonzero(probed.any(0)):
+            who, block = np.flatnonzero(probed[:, k]), slice(first[k], last[k])
+            near = far[who, here[k]].astype(np.float32)[:, None] + fixed[block][None]
+            for m, t in enumerate(tables):
+                near += t[who][:, codes[block, m]]
+            near = near <= limit[block]
+            # Of members of one list each pair once; guests come after all members.
+            near &= (at[who] != here[k])[:, None] | (np.arange(first[k], last[k])[None] < (who + start)[:, None])
+            a, b = np.nonzero(near)
+            rerank(who[a] + start, b + first[k])
     some = links > 0
     root = _joined(found, len(cids))
     return pa.table({"cid": cids[some], "links": links[some], "root": cids[root[some]]}, pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
@@ -178,19 +211,19 @@ def _meet(book: Codebooks, home: int, members: pa.Table, guests: pa.Table, inner
 def near_links(indexed: DataFrame, books: dict[int, Codebooks], cosine: float) -> DataFrame:
     """LINKS of the vectors of indexed, in parts that add up.
 
-    A list is cut into blocks of about MEMBERS, and its guests (vectors of lower lists that probe it, and of its own lower blocks) into blocks of about
-    GUESTS; each pair of blocks meets in one task, of bounded memory. Every pair of vectors that can link meets once.
+    A group of lists is cut into blocks of about MEMBERS, and its guests (vectors of other groups that probe one of its lists, and those of its own other blocks) into
+    blocks of about GUESTS; each pair of blocks meets in one task, of bounded memory. Every pair of vectors that can link meets once.
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     shared = indexed.sparkSession.sparkContext.broadcast(books)
-    place = ["label", "dim", "list"]
+    place = ["label", "dim", "group"]
     sizes = indexed.groupBy(*place).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    members = indexed.drop("probes").join(sizes, place).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    visits = indexed.select("cid", "label", "dim", "rows", "vector", F.explode("probes").alias("list")).join(sizes, place)
+    members = indexed.drop("visited").join(sizes, place).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    visits = indexed.select("cid", "label", "dim", "rows", "list", "vector", F.explode("visited").alias("group")).join(sizes, place)
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = members.filter("block + 1 < blocks").withColumn("to", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
-    columns = ["cid", *place, "rows", "vector", "block"]
-    guests = visits.select(*columns).unionByName(inside.drop("block").withColumnRenamed("to", "block").select(*columns))
+    inside = members.filter("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block")
+    columns = ["cid", *place, "rows", "list", "vector", "block", "from"]
+    guests = visits.withColumn("from", F.lit(-1)).select(*columns).unionByName(inside.withColumn("from", F.col("block")).withColumn("block", F.col("to")).select(*columns))
     tiles = guests.groupBy(*place, "block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("tiles"))
     at = [*place, "block"]
     members = members.join(tiles, at, "left").withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
@@ -198,12 +231,12 @@ def near_links(indexed: DataFrame, books: dict[int, Codebooks], cosine: float) -
     key = [*at, "tile"]
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        _, dim, home, _, tile = (k.as_py() for k in key)
-        return _meet(shared.value[dim], home, left, right, tile == 0, radius, cosine)
+        _, dim, _, block, tile = (k.as_py() for k in key)
+        return _meet(shared.value[dim], block, left, right, tile == 0, radius, cosine)
 
     # Both sides come of one frame: new names of columns keep them apart.
-    left = members.select(*(F.col(c).alias(c) for c in (*key, "cid", "rows", "codes", "error", "vector")))
-    right = guests.select(*(F.col(c).alias(c) for c in (*key, "cid", "rows", "vector")))
+    left = members.select(*(F.col(c).alias(c) for c in (*key, "cid", "rows", "list", "codes", "error", "vector")))
+    right = guests.select(*(F.col(c).alias(c) for c in (*key, "cid", "rows", "list", "vector", "from")))
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, LINKS)
 
 
