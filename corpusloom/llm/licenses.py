@@ -12,7 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNKNOWN = "unknown"
+from .urls import LOWER, UPPER
+
+UNKNOWN, RESERVED = "unknown", "proprietary"
 
 # Statements and openings by which public licences are recognised.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -126,7 +128,7 @@ class LicenseModel:
     bias: list[float]
     #: what logits are divided by, so that probabilities are those that templates which weren't taught have
     temperature: float
-    #: the least probability of a family that isn't put down to UNKNOWN
+    #: the least probability of a family that isn't put down to UNKNOWN; it must also be likelier than that
     threshold: float
     #: of the held-out texts, by tenths of the likeliest class's probability: how many, their mean probability and how many were right
     reliability: list[tuple[int, float, float]]
@@ -138,7 +140,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 @cache
-def train(seed: int = 0, copies: int = 8, rounds: int = 120, rate: float = 1.0, decay: float = 1e-4, folds: int = 4) -> LicenseModel:
+def train(seed: int = 0, copies: int = 6, rounds: int = 100, rate: float = 1.0, decay: float = 1e-4, folds: int = 3) -> LicenseModel:
     """Fit to the templates and names and to copies of them with words lost, doubled or set among others; OTHERS teach UNKNOWN.
 
     Temperature and threshold come from texts that weren't taught: in each of some folds a part of the templates and of OTHERS is left out whole, with all
@@ -184,7 +186,8 @@ def train(seed: int = 0, copies: int = 8, rounds: int = 120, rate: float = 1.0,
     p = _softmax(left / temperature)
     best, top = p[:, :-1].argmax(1), p[:, :-1].max(1)
     levels = np.linspace(0.2, 0.9, 71)
-    right = [(((top >= t) & (best == held)) | ((top < t) & (held == len(families) - 1))).sum() for t in levels]
+    known = [(top >= t) & (top > p[:, -1]) for t in levels]
+    right = [((k & (best == held)) | (~k & (held == len(families) - 1))).sum() for k in known]
     bins = np.minimum((p.max(1) * 10).astype(int), 9)
     reliability = [(int((bins == b).sum()), float(p.max(1)[bins == b].mean()), float((p.argmax(1) == held)[bins == b].mean())) for b in range(10) if (bins == b).any()]
     table = np.round(fit(np.ones(len(rows), bool)), 6)
@@ -233,14 +236,14 @@ def _grams(words: str) -> str:
 def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, similar: float = 0.5) -> DataFrame:
     """text_hash, line, family, probability and similarity of each paragraph of the column text that holds one of anchors().
 
-    family is the likeliest class if its probability reaches the model's threshold and at least the share similar of the n-grams of a template of the family, or
+    family is the likeliest class if that isn't UNKNOWN, its probability reaches the model's threshold and at least the share similar of the n-grams of a template of the family, or
     one of its names, is in the paragraph; else unknown. Each paragraph is judged by sums over its n-grams; equal texts are judged once, however often they come.
     """
     model = model or train()
     spark, pattern = docs.sparkSession, anchor_pattern()
     texts = docs.select("text").filter(F.col("text").rlike(pattern)).select(F.xxhash64("text").alias("text_hash"), "text")
     rows = paragraphs(F.col("text"))(texts).drop("text").filter(F.col("paragraph").rlike(pattern))
-    rows = rows.select("text_hash", "line", F.inline(F.array(F.struct(F.regexp_extract_all(F.lower("paragraph"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words")))))
+    rows = rows.select("text_hash", "line", F.inline(F.array(F.struct(F.regexp_extract_all(F.translate("paragraph", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)).alias("words")))))
     rows = rows.select("text_hash", "line", F.explode(F.expr(_grams("words"))).alias("gram"))
 
     families, (owners, found) = model.families[:-1], shapes()
@@ -258,20 +261,22 @@ def license_paragraphs(docs: DataFrame, model: LicenseModel | None = None, simil
     scored = scored.withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))")).withColumn("total", F.expr("aggregate(e, 0D, (a, x) -> a + x)"))
     scored = scored.withColumn("known", F.expr(f"slice(e, 1, {len(families)})")).withColumn("best", F.expr("array_position(known, array_max(known))").cast("int"))
     probability, similarity = F.expr("array_max(known) / total"), F.expr("element_at(near, best)")
+    likely = (probability >= model.threshold) & F.expr("array_max(known) > element_at(e, -1)")
     names = F.array(*(F.lit(f) for f in families))
-    family = F.when((probability >= model.threshold) & (similarity >= similar), F.element_at(names, F.col("best"))).otherwise(UNKNOWN)
+    family = F.when(likely & (similarity >= similar), F.element_at(names, F.col("best"))).otherwise(UNKNOWN)
     return scored.select("text_hash", "line", family.alias("family"), probability.alias("probability"), similarity.alias("similarity"))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, family, probability, similarity and n_paragraphs.
 
-    family is that of the confirmed paragraph with the highest probability (then the last by name); unknown if paragraphs hold anchors but none is
+    family is that of the confirmed paragraph with the highest probability (then the last by name), where reserved rights yield to a licence; unknown if paragraphs hold anchors but none is
     confirmed; null, as are probability and similarity, if none does or the text is null or empty. A text decides, whatever its doc_id: equal texts have equal
     results, and rows of one doc_id or none are judged each for itself. Other columns are ignored; an empty table gives no rows. Only hashes and ids are joined, never texts.
     """
     found = license_paragraphs(docs, model)
-    rank = F.struct((F.col("family") != UNKNOWN).alias("a"), F.round("probability", 9).alias("b"), F.col("family").alias("c"), F.round("similarity", 9).alias("d"))
+    kind = F.when(F.col("family") == UNKNOWN, 0).when(F.col("family") == RESERVED, 1).otherwise(2)
+    rank = F.struct(kind.alias("a"), F.round("probability", 9).alias("b"), F.col("family").alias("c"), F.round("similarity", 9).alias("d"))
     found = found.groupBy("text_hash").agg(F.max(rank).alias("top"), F.count("*").alias("n"))
     rows = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"))
     joined = rows.join(found, "text_hash", "left")

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from corpusloom.llm import chat, components, urls, vectors
+from corpusloom.llm import chat, components, packing, urls, vectors
 
 PAGES = "page_id long, url string, html string, host int, rule string"
 
@@ -126,9 +126,9 @@ def plain_links(rows, cosine=0.98):
     return sorted(((r[0], n[i], least[find(i)], r[0] is not None and r[0] == least[find(i)]) for i, r in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("list_rows", "members", "guests"), [(4096, 4096, 8192), (16, 7, 9)])
+@pytest.mark.parametrize(("list_rows", "members", "guests"), [(4096, 4096, 8192), (16, 7, 9), (40, 4096, 8192)])
 def test_near_duplicates(spark, monkeypatch, list_rows, members, guests):
-    for name, value in (("LIST_ROWS", list_rows), ("MEMBERS", members), ("GUESTS", guests)):
+    for name, value in (("GROUP_ROWS", list_rows), ("MEMBERS", members), ("GUESTS", guests)):
         monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), i % 3) for i in range(120)]
@@ -141,6 +141,19 @@ def test_near_duplicates(spark, monkeypatch, list_rows, members, guests):
     assert sorted((tuple(r) for r in vectors.near_duplicates(table).collect()), key=str) == plain_links(rows)
 
 
+def test_vectors_are_in_several_lists(spark):
+    """At the size of the smallest tables there are lists that most vectors don't visit."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    classes = vectors.vector_classes(table)
+    (book,) = vectors.codebooks(classes).values()
+    assert len(book.centres) > 20
+    x = np.stack([np.array(r["embedding"], float) for r in classes.collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = vectors.squared_distances(x, book.centres)
+    probed = vectors.margins(book, far, far.argmin(1), np.arange(len(book.centres))) <= 0.2 + vectors.SLACK
+    assert probed.mean() < 0.5
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     odd = spark.createDataFrame([(1, None, 1), (2, [0.0], None)], "vec_id long, embedding array<float>, label int")
@@ -180,14 +193,14 @@ def plain_digests(rows):
 
 @pytest.mark.parametrize("budget", [1, 30, 2048])
 def test_chat_round_trip(spark, budget):
-    rng = random.Random(6)
+    rng, encode = random.Random(6), packing.Encoder(*packing.public_tokenizer())
     parts = ["hi", "</turn>", "<turn user>", "\\", "\\<", "\n", "### ", "ünï", "a b c d e f g", "<", ">", ":", ""]
     rows = []
     for c in range(25):
         if c % 3 == 0:
             rows.append((c, 0, "system", "be kind", 1))
         rows += [(c, t, rng.choice(["user", "assistant", "a>b", None]), " ".join(rng.choices(parts, k=rng.randrange(6))), 1) for t in range(1, rng.randrange(2, 40))]
-    rows += [(90, 0, "assistant", None, 1), (90, 0, "assistant", None, 1), (91, None, "user", "x", 1), (None, 1, "assistant", "lone", 1), (92, 1, "assistant", "long " * 5000, 1)]
+    rows += [(90, 0, "assistant", None, 1), (90, 0, "assistant", None, 1), (91, None, "user", "x", 1), (None, 1, "assistant", "lone", 1), (92, 1, "assistant", "long " * 5000, 1), *((93, i, "user", "日本語" * 400, 1) for i in range(9))]
     windows = chat.format_conversations(spark.createDataFrame(rows, TURNS).repartition(5), budget=budget, history=3)
     found = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(windows).collect()}
     assert found == plain_digests(rows)
@@ -195,7 +208,7 @@ def test_chat_round_trip(spark, budget):
         turns = chat.turns_of(w["text"])
         fresh = len(turns) - w["repeated"]
         assert fresh >= 1 and (w["n_tokens"] <= budget or fresh == 1)
-        assert w["n_tokens"] == sum(len(t.split()) + 3 for _, t in turns) and w["repeated"] <= 4
+        assert w["n_tokens"] == sum(len(encode(f"{chat.OPEN}{chat.escape(r)}>{chat.escape(t)}{chat.CLOSE}")) for r, t in turns) and w["repeated"] <= 4
         assert [chat.unescape(w["text"][a:b]) for a, b in zip(w["loss_start"], w["loss_end"], strict=True)] == [t for r, t in turns[w["repeated"] :] if r == "assistant"]
         if w["window"] and w["conv_id"] is not None and w["conv_id"] % 3 == 0 and w["conv_id"] < 25:
             assert turns[0] == ("system", "be kind")
