@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard, language, lines, mixing, packing
-from corpusloom.llm.common import written
+from corpusloom.llm.common import discard, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters, with the language that the classifier finds as their label, whatever it was. Where no row had a label, nothing is learned
-    and labels stay null."""
+    and labels stay null. A null or empty text goes; repeated rows stay or go together, and other columns stay as they are."""
     model = language.fit(docs)
     if not model.languages:
         return docs.filter(language.has_letters(F.col("text")))
@@ -28,17 +28,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand in an earlier one."""
+    """All documents, without the passages that stand in an earlier one; null and empty texts and repeated rows stay, and other columns but n_chars are as they were."""
     return lines.dedup_lines(docs, run_words=lines.RUN_WORDS).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its shingles of five words."""
+    """One document of each group that shares four fifths of its shingles of five words: that with the smallest doc_id, null last. Texts without words all stay."""
     return jaccard.first_of_groups(docs, k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources' words in shares by weight: a document comes once for each epoch that takes some of it, with what that takes."""
+    """The sources' words in shares by weight: a document comes once for each epoch that takes some of it, with what that takes.
+    Texts without words go; a null source is one more source."""
     return mixing.mixed_texts(docs, mixing.mix_sources(docs))
 
 
@@ -61,7 +62,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of all that the stages leave of the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
