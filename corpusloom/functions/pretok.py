@@ -12,7 +12,6 @@ BYTE_LEVEL = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 _PUNCT = r"\p{P}$+<=>^`|~"
 BEHAVIOURS = ("removed", "isolated", "merged_with_previous", "merged_with_next", "contiguous")
 #: Scripts that are told apart; a fixed list.
-SCRIPTS = "Latin Greek Cyrillic Armenian Hebrew Arabic Devanagari Bengali Gurmukhi Gujarati Tamil Telugu Kannada Malayalam Thai Lao Tibetan Georgian Hangul Ethiopic Khmer Mongolian Bopomofo".split()
 
 
 def extract(text: Column, pattern: str, group: int = 0) -> Column:
@@ -92,12 +91,22 @@ def metaspace(text: Column, replacement: str = "▁", prepend: str = "always", d
     return extract(marked, f"{replacement}[^{replacement}]*|[^{replacement}]+") if do_split else F.array(marked)
 
 
+def _scripts() -> list[str]:
+    """The names of all scripts that the JVM knows, but for those that count as Han and that of unassigned characters; the commonest come first."""
+    from pyspark import SparkContext
+
+    first = ["LATIN", "COMMON"]
+    known = [str(x.toString()) for x in SparkContext._active_spark_context._jvm.java.lang.Character.UnicodeScript.values()]
+    return first + [x for x in known if x not in (*first, "HAN", "HIRAGANA", "KATAKANA", "UNKNOWN")]
+
+
 def unicode_scripts(text: Column) -> Column:
-    """Break where the script changes. Hiragana, Katakana and the long vowel mark count as Han; a space belongs to any script."""
-    classes = [r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー", *(rf"\p{{Is{s}}}" for s in SCRIPTS)]
-    known = "".join(classes)
-    runs = [f" *+[{c}][ {c}]*+" for c in classes]
-    return extract(text, "|".join([*runs, f" *+[^ {known}](?:[^{known}])*+", " ++"]))
+    """Break where the script changes. Hiragana, Katakana and the long vowel mark count as Han; spaces and unassigned characters belong to any script.
+
+    So they stay with what stands before them; those before the first other character go.
+    """
+    classes = [r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]", *(rf"[\p{{Is{s}}}&&[^ ー]]" for s in _scripts())]
+    return extract(text, "|".join(rf"{c}[{c}\p{{IsUnknown}} ]*+" for c in classes))
 
 
 def sequence(text: Column, *steps) -> Column:

@@ -48,25 +48,44 @@ def select_languages(df: DataFrame, languages: Sequence[str], known: Sequence[st
     return df.filter(F.col("lang").isin(list(languages)))
 
 
-def range_of(order: str) -> Column:
-    """Ranges of an integer order column for running_sum()."""
-    return F.expr(f"`{order}` div {RANGE}")
+def ranges_of(order: str) -> tuple[Column, Column]:
+    """Coarse and fine ranges of an integer order column for running_sum()."""
+    return F.expr(f"`{order}` div {RANGE * RANGE}"), F.expr(f"`{order}` div {RANGE}")
 
 
-def running_sum(df: DataFrame, value: Column, order: str, name: str, by: Sequence[str] = (), bucket: Column | None = None, exclusive: bool = True) -> DataFrame:
+def key_ranges(key: str) -> tuple[Column, Column]:
+    """Coarse and fine ranges of a column of hexadecimal digests: 256 and 65,536 of even size."""
+    return F.substring(key, 1, 2), F.substring(key, 1, 4)
+
+
+def joined_on(rows: DataFrame, table: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """rows with the other columns of table, which has one row for each value of keys; a null meets a null."""
+    other = table.select(*(F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)), *(f"`{c}`" for c in table.columns if c not in keys))
+    met = [rows[f"`{k}`"].eqNullSafe(other[f"_key_{i}"]) for i, k in enumerate(keys)]
+    return rows.join(F.broadcast(other) if broadcast else other, met).drop(*(f"_key_{i}" for i in range(len(keys))))
+
+
+def running_sum(df: DataFrame, value: Column, order: str, name: str, by: Sequence[str] = (), ranges: tuple[Column, ...] | None = None, exclusive: bool = True) -> DataFrame:
     """df with the sum of value over the rows before each (and itself, unless exclusive), in the order of a unique column.
 
-    Sums are made in two levels, within ranges of the order (bucket, which must not decrease along it) and over the ranges' totals, so that no task
-    sees more than one range's rows or the totals of one group.
+    Sums are made in levels: within the finest of the ranges of the order (columns that don't decrease along it, each of which refines the one before), over
+    the fine ranges of each coarse one, and over the coarse ones. So no task sees more than the rows or ranges of one range, or the coarse ranges of one group. Rows
+    whose order is null come first; a null in by is a group of its own.
     """
-    bucket = range_of(order) if bucket is None else bucket
-    rows = df.withColumns({"_bucket": bucket, "_value": value.cast("long")})
-    upto = Window.unboundedPreceding, -1 if exclusive else 0
-    inner = F.sum("_value").over(Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(*upto))
-    before = F.sum("_total").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals = rows.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_total")).withColumn("_base", F.coalesce(before, F.lit(0))).drop("_total")
-    joined = rows.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(totals, [*by, "_bucket"])
-    return joined.withColumn(name, F.col("_base") + F.col("_inner")).drop("_bucket", "_value", "_base", "_inner")
+    levels = [f"_range_{i}" for i, _ in enumerate(ranges or ranges_of(order))]
+    rows = df.withColumns({n: c for n, c in zip(levels, ranges or ranges_of(order), strict=True)} | {"_value": value.cast("long")})
+    inner = F.sum("_value").over(Window.partitionBy(*by, *levels).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    total, found = F.coalesce(inner, F.lit(0)), rows
+    totals = rows.groupBy(*by, *levels).agg(F.sum("_value").alias("_total"))
+    bases = totals
+    for i in range(len(levels) - 1, -1, -1):
+        # The totals of one level are summed up within the ranges of the level above.
+        before = F.sum("_total").over(Window.partitionBy(*by, *levels[:i]).orderBy(levels[i]).rowsBetween(Window.unboundedPreceding, -1))
+        based = totals.withColumn(f"_base_{i}", F.coalesce(before, F.lit(0))).drop("_total")
+        bases = based if i == len(levels) - 1 else joined_on(bases, based, [*by, *levels[: i + 1]])
+        totals = totals.groupBy(*by, *levels[:i]).agg(F.sum("_total").alias("_total"))
+    found = joined_on(rows.withColumn("_inner", total), bases, [*by, *levels])
+    return found.withColumn(name, sum((F.col(f"_base_{i}") for i in range(len(levels))), F.col("_inner"))).drop("_value", "_inner", *levels, *(f"_base_{i}" for i in range(len(levels))))
 
 
 def budget_cut(df: DataFrame, tokens: str, target: int | Column, order: str, by: Sequence[str] = ()) -> DataFrame:
@@ -88,8 +107,7 @@ def shuffle_key(uid: Column, seed: int = 42) -> Column:
 def shuffled(df: DataFrame, uid: str = "uid", seed: int = 42, by: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """df with each row's place in the fixed shuffle."""
     keyed = df.withColumn("_key", shuffle_key(F.col(uid), seed))
-    # Ranges of the key are its leading digits: 4096 of even size.
-    return running_sum(keyed, F.lit(1), "_key", name, by, bucket=F.substring("_key", 1, 3)).drop("_key")
+    return running_sum(keyed, F.lit(1), "_key", name, by, key_ranges("_key")).drop("_key")
 
 
 def split_name(place: Column, n: Column, train: float = 0.95, val: float = 0.025) -> Column:
@@ -100,18 +118,18 @@ def split_name(place: Column, n: Column, train: float = 0.95, val: float = 0.025
 
 
 def with_count(df: DataFrame, by: Sequence[str] = (), name: str = "n") -> DataFrame:
-    """df with the number of its rows, or of those of a group: a table of one row for each group, joined."""
+    """df with the number of its rows, or of those of a group: a table of one row for each group, joined. Null is a group too."""
     if not by:
         return df.withColumn("_one", F.lit(1)).join(F.broadcast(df.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return df.join(df.groupBy(*by).agg(F.count("*").alias(name)), list(by))
+    return joined_on(df, df.groupBy(*by).agg(F.count("*").alias(name)), by)
 
 
 def base_corpus(df: DataFrame, order: str, tokens: Column, target: int, least: int = 50, seed: int = 42, train: float = 0.95, val: float = 0.025, by: Sequence[str] = ()) -> DataFrame:
     """Filter by length, cut at the budget, number, shuffle and split; with by, each group for itself."""
     rows = at_least(df.withColumn("tokens", tokens), "tokens", least)
     rows = dense_uid(budget_cut(rows, "tokens", target, order, by), order, by=by)
-    placed = with_count(shuffled(rows, "uid", seed, by), by)
-    return placed.withColumn("split", split_name(F.col("pos"), F.col("n"), train, val)).drop("n")
+    placed = with_count(shuffled(rows, "uid", seed, by), by, "_rows")
+    return placed.withColumn("split", split_name(F.col("pos"), F.col("_rows"), train, val)).drop("_rows")
 
 
 def stream_position(base: DataFrame, order: str) -> int:
@@ -129,11 +147,11 @@ def extension(df: DataFrame, order: str, start: int, tokens: Column, target: int
 
 def half(df: DataFrame, order: str) -> DataFrame:
     """The first half of the rows, rounded down."""
-    return with_count(dense_uid(df, order, name="_nth")).filter(F.col("_nth") < F.expr("n div 2")).drop("_nth", "n")
+    return with_count(dense_uid(df, order, name="_nth"), name="_rows").filter(F.col("_nth") < F.expr("_rows div 2")).drop("_nth", "_rows")
 
 
 def train_val_split(df: DataFrame, uid: str = "uid", train: float = 0.95, seed: int = 42) -> DataFrame:
-    return with_count(shuffled(df, uid, seed)).withColumn("split", F.when(F.col("pos") < F.floor(F.col("n") * F.lit(train)), "train").otherwise("val")).drop("n")
+    return with_count(shuffled(df, uid, seed), name="_rows").withColumn("split", F.when(F.col("pos") < F.floor(F.col("_rows") * F.lit(train)), "train").otherwise("val")).drop("_rows")
 
 
 def merged_languages(base: DataFrame, order: str, half_of: str = "en", seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .corpus import RANGE, running_sum, shuffle_key
+from .corpus import RANGE, key_ranges, running_sum, shuffle_key
 
 BLOCK = 1 << 16
 
@@ -19,7 +19,7 @@ def document_index(docs: DataFrame, seed: int | None = 42, uid: str = "uid", ids
     if seed is None:
         return running_sum(rows, F.col("len"), uid, "start")
     keyed = rows.withColumn("_key", shuffle_key(F.col(uid), seed))
-    return running_sum(keyed, F.col("len"), "_key", "start", bucket=F.substring("_key", 1, 3)).drop("_key")
+    return running_sum(keyed, F.col("len"), "_key", "start", ranges=key_ranges("_key")).drop("_key")
 
 
 def pack_sequences(docs: DataFrame, seq_len: int = 2048, eos: int = 0, seed: int | None = 42, uid: str = "uid", ids: str = "input_ids") -> DataFrame:
@@ -41,7 +41,7 @@ def pack_sequences(docs: DataFrame, seq_len: int = 2048, eos: int = 0, seed: int
 def shuffled_sequences(sequences: DataFrame, seed: int = 42) -> DataFrame:
     """pos and seq_id: the order in which an epoch reads the sequences."""
     keyed = sequences.select("seq_id").withColumn("_key", shuffle_key(F.col("seq_id"), seed))
-    return running_sum(keyed, F.lit(1), "_key", "pos", bucket=F.substring("_key", 1, 3)).select("pos", "seq_id")
+    return running_sum(keyed, F.lit(1), "_key", "pos", ranges=key_ranges("_key")).select("pos", "seq_id")
 
 
 def locate(positions: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -71,7 +71,7 @@ def token_budget_batches(docs: DataFrame, budget: int, ids: str = "input_ids", s
     that is longer than the budget is alone. The greedy choice depends on all rows before, so that it is made shard by shard.
     """
     rows = docs.withColumn("_len", F.size(ids))
-    cut = running_sum(rows.withColumn("_order", F.format_string("%010d:%s", F.lit(2_000_000_000) - F.col("_len"), F.col("uid").cast("string"))), F.lit(1), "_order", "_nth", bucket=F.substring("_order", 1, 7))
+    cut = running_sum(rows.withColumn("_order", F.format_string("%010d:%s", F.lit(2_000_000_000) - F.col("_len"), F.col("uid").cast("string"))), F.lit(1), "_order", "_nth", ranges=(F.substring("_order", 1, 7), F.substring("_order", 1, 10)))
     cut = cut.withColumn("shard", F.expr(f"_nth div {shard}")).drop("_order")
     schema = f"{docs.schema.simpleString()[7:-1]},shard:bigint,batch:int"
 
