@@ -132,3 +132,14 @@ def discontinuity(rows: DataFrame, y: str, by: tuple[str, ...] = (), least: int
     r = lambda c: F.round(F.when(F.col("n") >= least, c), 6)
     e, s = F.col("effect"), F.col("se")
     return both.select(*by, r(e).alias("effect"), r(s).alias("se"), r(F.col("t")).alias("t"), r(F.pandas_udf(p_values, "double")("t", "n")).alias("p"), r(e - 1.96 * s).alias("ci_low"), r(e + 1.96 * s).alias("ci_high"), r(1 - F.col("rss") / F.col("tss")).alias("r2"), "n")
+
+
+def compared_models(statistics: DataFrame, merges: DataFrame, y: str, cutoff: float, bandwidth: float, model: str = "model", least: int = 10) -> DataFrame:
+    """model, effect, se, t, p, ci_low, ci_high, r2, n and error: the discontinuity at a place in the order of merges, for each model's statistics of tokens.
+
+    statistics: model, token_id and y; merges: token_id and rank. A model with fewer than least tokens near the cutoff has a row with an error.
+    """
+    rows = kernel_weights(statistics.join(merges.select("token_id", "rank"), "token_id"), "rank", cutoff, bandwidth)
+    names = statistics.select(model).distinct()
+    found = names.join(discontinuity(rows, y, (model,), least), model, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.withColumn("error", F.when(F.col("n") < least, F.concat(F.lit(f"fewer than {least} tokens near the cutoff: "), F.col("n"))))

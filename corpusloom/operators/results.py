@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A fixed value: how runs are named.
@@ -31,6 +31,11 @@ def method_name(name: Column) -> Column:
     return F.when((size == "") | (size == "128k"), called).otherwise(F.concat_ws("-", called, size))
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with their place, from 0, in an order; of a table of results, which is small."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
 def gathered(rows: DataFrame) -> DataFrame:
     """Results in the order of size, vocabulary and bpb (9 if there is none), sizes as text."""
     return rows.orderBy("size", "vocab", F.coalesce("bpb", F.lit(9.0)))

@@ -61,6 +61,38 @@ def token_logprobs(docs: DataFrame, costs: dict[int, float], unknown: float) ->
     return docs.select("uid", "input_ids").mapInPandas(score, "uid long, token_ids array<int>, token_logprobs array<double>")
 
 
+def joined_logprobs(docs: DataFrame, costs: DataFrame) -> DataFrame:
+    """uid, token_id, place and logprob of each predicted token, from a table of costs (token_id, nats; null for unknown ones). The first token isn't predicted, and has 0."""
+    unknown = costs.filter("token_id is null").select(F.col("nats").alias("unknown")).withColumn("_one", F.lit(1))
+    each = docs.select("uid", F.posexplode("input_ids").alias("place", "token_id")).join(costs.filter("token_id is not null"), "token_id", "left")
+    each = each.withColumn("_one", F.lit(1)).join(F.broadcast(unknown), "_one")
+    return each.select("uid", "token_id", "place", F.when(F.col("place") == 0, 0.0).otherwise(-F.coalesce("nats", "unknown")).alias("logprob"))
+
+
+def window_logprobs(docs: DataFrame, costs: DataFrame, window: int = 2048, stride: int = 512) -> DataFrame:
+    """uid, token_ids and token_logprobs of documents that are scored in windows: each token is taken from the window that first predicts it."""
+    from .packing import sliding_windows
+
+    each = joined_logprobs(docs, costs)
+    spans = sliding_windows(docs.select("uid", F.size("input_ids").alias("n")), window, stride).select("uid", "start", "new_from", F.col("end").alias("upto"))
+    scored = each.join(spans, "uid").filter("place >= new_from and place <= upto or place = 0 and start = 0")
+    rows = scored.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("place", "token_id", "logprob"))).alias("all"))
+    return rows.select("uid", F.col("all.token_id").alias("token_ids"), F.col("all.logprob").alias("token_logprobs"))
+
+
+def settings_accuracy(settings: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """setting, correct and the other columns of each setting's rows; and why settings failed, which are skipped."""
+    found, failed = None, {}
+    for name, make in settings.items():
+        try:
+            rows = make().withColumn("setting", F.lit(name))
+            rows.schema, rows.limit(1).count()
+            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+        except Exception as error:  # noqa: BLE001  whatever a setting's source or model raises
+            failed[name] = f"{type(error).__name__}: {error}".splitlines()[0]
+    return found, failed
+
+
 def token_statistics(logprobs: DataFrame) -> DataFrame:
     """For each token: mean, deviation, number and sum of its log-probabilities."""
     each = logprobs.select(F.explode(F.arrays_zip("token_ids", "token_logprobs")).alias("t")).select(F.col("t.token_ids").alias("token_id"), F.col("t.token_logprobs").alias("p"))

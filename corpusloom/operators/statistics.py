@@ -65,16 +65,19 @@ def scored_pairs(words: DataFrame, score: str = "count") -> DataFrame:
 
 
 def ranked(counts: DataFrame, token: str, cnt: str = "cnt", by: Sequence[str] = ()) -> DataFrame:
-    """counts with rank, from 1, by descending count and then token.
+    """counts with rank, from 1, by descending count and then token; a null in by is a group of its own, and counts that are null or not positive come last.
 
     Ranks are made in two levels: rows of one magnitude of counts among themselves, and the magnitudes' totals.
     """
-    magnitude = -F.floor(F.log2(F.col(cnt).cast("double")) * 16).cast("int")
+    from .corpus import joined_on
+
+    # The logarithm of what isn't positive is null; such rows are one more magnitude, after all others.
+    magnitude = F.coalesce(-F.floor(F.log2(F.when(F.col(cnt) > 0, F.col(cnt).cast("double"))) * 16).cast("int"), F.lit(1 << 20))
     rows = counts.withColumn("_m", magnitude)
     inner = F.row_number().over(Window.partitionBy(*by, "_m").orderBy(F.desc(cnt), token))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
     bases = rows.groupBy(*by, "_m").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(before, F.lit(0))).drop("_n")
-    return rows.withColumn("_inner", inner).join(F.broadcast(bases), [*by, "_m"]).withColumn("rank", (F.col("_base") + F.col("_inner")).cast("long")).drop("_m", "_inner", "_base")
+    return joined_on(rows.withColumn("_inner", inner), bases, [*by, "_m"]).withColumn("rank", (F.col("_base") + F.col("_inner")).cast("long")).drop("_m", "_inner", "_base")
 
 
 def zipf_fit(ranks: DataFrame, cnt: str = "cnt", by: Sequence[str] = (), first: int = 0, last: int | None = None) -> DataFrame:
@@ -98,10 +101,12 @@ def rank_sample(ranks: DataFrame, points: int) -> DataFrame:
 
 
 def with_shares(counts: DataFrame, cnt: str = "cnt", by: Sequence[str] = ()) -> DataFrame:
-    """counts with total and p, each count's share."""
+    """counts with total and p, each count's share of its group; null is a group too."""
+    from .corpus import joined_on
+
     if by:
         totals = counts.groupBy(*by).agg(F.sum(cnt).alias("total"))
-        return counts.join(F.broadcast(totals), list(by)).withColumn("p", F.col(cnt) / F.col("total"))
+        return joined_on(counts, totals, by).withColumn("p", F.col(cnt) / F.col("total"))
     totals = counts.agg(F.sum(cnt).alias("total")).withColumn("_one", F.lit(1))
     return counts.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one").drop("_one").withColumn("p", F.col(cnt) / F.col("total"))
 
@@ -169,6 +174,12 @@ def corpus_bpb(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n_docs"), F.round(bits_per_byte(F.sum("loss_nats"), F.sum("num_bytes")), 6).alias("bpb"))
 
 
+def chunk_weighted_loss(rows: DataFrame, loss: str, place: str, by: Sequence[str] = (), chunk: int = 4) -> DataFrame:
+    """loss and n: the mean losses of chunks of so many neighbouring rows, weighted by the chunks' rows."""
+    chunks = rows.groupBy(*by, F.expr(f"`{place}` div {chunk}").alias("_chunk")).agg(F.avg(loss).alias("_mean"), F.count(loss).alias("_n"))
+    return chunks.groupBy(*by).agg(F.round(F.sum(F.col("_mean") * F.col("_n")) / F.sum("_n"), 6).alias("loss"), F.sum("_n").alias("n"))
+
+
 def bpb_distribution(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     r = lambda c, n: F.round(c, 6).alias(n)
     return rows.groupBy(*by).agg(r(F.avg("bpb"), "bpb_mean"), r(F.stddev_samp("bpb"), "bpb_std"), r(F.min("bpb"), "bpb_min"), r(F.max("bpb"), "bpb_max"))

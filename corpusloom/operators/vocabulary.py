@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iteration import checkpointed
+
 
 
 def overlap_matrix(vocab: DataFrame, name: str = "name", token: str = "token") -> DataFrame:
@@ -100,25 +102,37 @@ def absorbed_by_length(absorbed: DataFrame, least: Sequence[int] = (0, 3, 5, 10)
     return found.withColumn("pct", F.round(F.col("absorbed") / F.col("made") * 100, 6))
 
 
-def merge_chains(merges: DataFrame) -> DataFrame:
-    """start, end and length of the longest chains: each token leads to the result of the first later merge that absorbs it.
+def merge_chains(merges: DataFrame, most: int | None = None) -> DataFrame:
+    """start, end and length of the longest chains: each token leads to the result of the first later merge that absorbs it; with most, the longest ones.
 
-    By pointer jumping: after each round the pointers reach twice as far, so that rounds grow with the logarithm of the longest chain. A
-    chain whose start another token leads to is no longest one.
+    By pointer jumping: after each round the pointers reach twice as far, so that rounds grow with the logarithm of the longest chain. Each round is
+    checkpointed, so that plans don't grow. A chain whose start another token leads to is no longest one.
     """
     results = merges.select(F.col("rank").alias("absorbed"), F.col("result").alias("next"))
-    steps = absorptions(merges).join(results, "absorbed", "left").select("token", "next")
-    jumps = steps.select("token", F.coalesce("next", "token").alias("end"), F.when(F.col("next").isNotNull(), 1).otherwise(0).alias("length"))
-    while True:
+    steps = checkpointed(absorptions(merges).join(results, "absorbed", "left").select("token", "next"))
+    jumps = checkpointed(steps.select("token", F.coalesce("next", "token").alias("end"), F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long").alias("length")))
+    total = jumps.agg(F.sum("length")).first()[0]
+    while total:
         on = jumps.select(F.col("token").alias("end"), F.col("end").alias("far"), F.col("length").alias("more"))
-        longer = jumps.join(on, "end").select("token", F.col("far").alias("end"), (F.col("length") + F.col("more")).alias("length"))
+        jumps = checkpointed(jumps.join(on, "end").select("token", F.col("far").alias("end"), (F.col("length") + F.col("more")).alias("length")))
         # The numbers of steps stop to grow when every pointer is at an end.
-        before, after = jumps.agg(F.sum("length")).first()[0], longer.agg(F.sum("length")).first()[0]
-        if before == after:
+        before, total = total, jumps.agg(F.sum("length")).first()[0]
+        if before == total:
             break
-        jumps = longer
     starts = jumps.join(steps.filter("next is not null").select(F.col("next").alias("token")), "token", "left_anti")
-    return starts.filter("length > 0").select(F.col("token").alias("start"), "end", "length")
+    found = starts.filter("length > 0").select(F.col("token").alias("start"), "end", "length")
+    return found if most is None else found.orderBy(F.desc("length"), "start").limit(most)
+
+
+def used_absorbed(absorbed: DataFrame, counts: DataFrame, most: int = 10, token: str = "token") -> DataFrame:
+    """Absorbed tokens (rows of absorptions()) with how often they are used all the same: the most used ones."""
+    gone = absorbed.filter(F.col("absorbed").isNotNull())
+    return gone.join(counts, token).orderBy(F.desc("cnt"), token).limit(most)
+
+
+def with_merges(statistics: DataFrame, merges: DataFrame, key: str = "token_id") -> DataFrame:
+    """Statistics of tokens with the merges that made them; tokens that none made are left out."""
+    return statistics.join(merges, key)
 
 
 def apply_merge(words: DataFrame, left: str, right: str) -> DataFrame:

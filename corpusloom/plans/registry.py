@@ -34,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, where their files give fewer: a small table may be a single row group, which one task would read alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus of most queries: uid, text, lang and source."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "text", "lang", "source"))
 
 
 def pieces(docs: DataFrame) -> DataFrame:

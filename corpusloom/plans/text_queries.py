@@ -90,7 +90,12 @@ def pretok_sequence(spark, sf_dir):
     return _counts(spark, sf_dir, lambda t: pretok.sequence(t, pretok.whitespace_split, lambda w: pretok.digits(w, individual=True)))
 
 
-@query()
+# Scripts of the texts; elsewhere every script is known.
+_RUN_OF = "{0}(?:{0}| )*"
+_SCRIPT_RUNS = "|".join(_RUN_OF.format(c) for c in (r"\p{Latin}", r"[^\P{Common} ー]", r"[\p{Han}\p{Hiragana}\p{Katakana}ー]", r"\p{Inherited}", r"\p{Greek}", r"\p{Cyrillic}", r"\p{Arabic}"))
+
+
+@query(_counted(f"regexp_extract_all(text, '{_SCRIPT_RUNS}')"))
 def pretok_scripts(spark, sf_dir):
     return _counts(spark, sf_dir, pretok.unicode_scripts)
 

@@ -186,18 +186,3 @@ def topdown_comp(spark, sf_dir):
 def unigram_em(spark, sf_dir):
     config = unigram.UnigramConfig(special_tokens=SPECIALS)
     return _listed(spark, unigram.train_unigram(_byte_words(spark, sf_dir), config))
-
-
-def _merges(spark, sf_dir):
-    rows = bpe.train_all(_byte_words(spark, sf_dir), {"count": bpe.BpeConfig(vocab_size=1000, min_frequency=2, special_tokens=SPECIALS)})
-    return rows.select("rank", "left", "right", "result")
-
-
-@query()
-def absorbed_tokens(spark, sf_dir):
-    return vocabulary.absorbed_by_length(vocabulary.absorptions(_merges(spark, sf_dir)))
-
-
-@query()
-def merge_chains(spark, sf_dir):
-    return vocabulary.merge_chains(_merges(spark, sf_dir).cache())
