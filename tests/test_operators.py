@@ -34,6 +34,62 @@ def test_running_sums_over_many_ranges(spark):
     assert found.filter("s <> pos div 3 * 2").count() == 0 and found.count() == 30_000
 
 
+def test_null_groups_and_orders_are_kept(spark):
+    """A null in by is a group like any other, and rows whose order is null come first."""
+    rows = [(i, None if i % 3 == 0 else "ab"[i % 2], i % 7) for i in range(30)]
+    table = spark.createDataFrame(rows, "pos long, g string, n long").repartition(3)
+    before = {}
+    wanted = {}
+    for i, g, n in rows:
+        wanted[i] = before.get(g, 0)
+        before[g] = before.get(g, 0) + n
+    assert {r["pos"]: r["s"] for r in corpus.running_sum(table, F.col("n"), "pos", "s", ["g"]).collect()} == wanted
+    assert {r["pos"]: r["k"] for r in corpus.with_count(table, ["g"], "k").collect()} == {i: 10 for i in range(30)}
+    assert sorted(r["pos"] for r in corpus.budget_cut(table, "n", 12, "pos", ["g"]).collect()) == sorted(i for i in wanted if wanted[i] < 12)
+    base = corpus.base_corpus(table, "pos", F.col("n"), 1000, least=0, by=["g"])
+    assert base.count() == 30 and sorted(r["uid"] for r in base.filter("g is null").collect()) == list(range(10))
+    shares = statistics.with_shares(table, "n", ["g"]).groupBy("g").agg(F.sum("p").alias("p")).collect()
+    assert len(shares) == 3 and all(r["p"] == pytest.approx(1) for r in shares)
+    ranks = statistics.ranked(table, "pos", "n", ["g"]).collect()
+    for g in (None, "a", "b"):
+        own = sorted((r for r in ranks if r["g"] == g), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 11)) and [(r["n"], r["pos"]) for r in own] == sorted(((r["n"], r["pos"]) for r in own), key=lambda x: (-x[0], x[1]))
+    late = spark.createDataFrame([(None, 5), (0, 1), (9000, 2), (20_000_000, 3)], "pos long, n long")
+    assert sorted((r["n"], r["s"]) for r in corpus.running_sum(late, F.col("n"), "pos", "s").collect()) == [(1, 5), (2, 6), (3, 8), (5, 0)]
+
+
+def test_texts_are_numbered_by_their_paths(spark, tmp_path):
+    for name, text in (("b.txt", "two\nlines"), ("a.txt", "one"), ("c.md", "no")):
+        (tmp_path / name).write_text(text)
+    assert [(r["uid"], r["text"]) for r in readers.whole_texts(spark, str(tmp_path)).orderBy("uid").collect()] == [(0, "one"), (1, "two\nlines")]
+
+
+def test_failing_settings_are_skipped(spark):
+    rows = spark.createDataFrame([("x", True)], "phenomenon string, correct boolean")
+
+    def missing():
+        return spark.read.parquet("/nowhere/at/all")
+
+    found, failed = scoring.settings_accuracy({"a": lambda: rows, "b": missing})
+    assert [r["setting"] for r in found.collect()] == ["a"] and set(failed) == {"b"}
+    assert scoring.settings_accuracy({"b": missing})[0] is None
+
+
+def test_windows_score_each_token_once(spark):
+    docs = spark.createDataFrame([(1, list(range(1, 40))), (2, [3]), (3, [1, 2])], "uid long, input_ids array<int>")
+    costs = spark.createDataFrame([(i, i / 10) for i in range(1, 30)] + [(None, 9.0)], "token_id int, nats double")
+    rows = {r["uid"]: r for r in scoring.window_logprobs(docs, costs, 8, 3).collect()}
+    assert rows[1]["token_ids"] == list(range(1, 40)) and rows[1]["token_logprobs"] == [0.0, *(-i / 10 if i < 30 else -9.0 for i in range(2, 40))]
+    assert rows[3]["token_logprobs"] == [0.0, -0.2]
+
+
+def test_a_model_with_few_tokens_has_an_error(spark):
+    stats = spark.createDataFrame([("m", i, float(i % 5)) for i in range(40)] + [("few", 3, 1.0)], "model string, token_id long, y double")
+    merges = spark.createDataFrame([(i, i) for i in range(40)], "token_id long, rank long")
+    found = {r["model"]: r for r in inference.compared_models(stats, merges, "y", 20.0, 15.0).collect()}
+    assert found["m"]["error"] is None and found["m"]["effect"] is not None and "fewer than 10" in found["few"]["error"]
+
+
 def test_extension_starts_after_the_base(spark):
     docs = spark.createDataFrame([(i, "word " * 60) for i in range(40)], "doc_id long, text string")
     tokens = corpus.estimated_tokens(F.col("text"))

@@ -53,13 +53,3 @@ def test_trainers_have_their_defaults(spark, name):
     tokens = [r["token"] for r in catalogue.QUERIES[name](spark, SF).collect()]
     assert len(tokens) == len(set(tokens)) == 8_000
     assert 8 < max(len(t) for t in tokens if not t.startswith("<|")) <= 16
-
-
-def test_templates_hold_whole_texts(spark):
-    """As many ids as the text has, and two special ones."""
-    from corpusloom.plans import token_queries
-
-    lengths = {r["uid"]: len(r["input_ids"]) for r in token_queries._encoded(spark, SF).collect()}
-    rows = catalogue.QUERIES["encoding_template"](spark, SF).collect()
-    assert {r["uid"]: (r["n"], r["specials"]) for r in rows} == {u: (n + 2, 2) for u, n in lengths.items()}
-    assert max(lengths.values()) > 64
