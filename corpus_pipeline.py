@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard, language, lines, mixing, packing
-from corpusloom.llm.common import discard, written
+from corpusloom.llm.common import WORD, discard, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,8 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand in an earlier one; null and empty texts and repeated rows stay, and other columns but n_chars are as they were."""
-    return lines.dedup_lines(docs, run_words=lines.RUN_WORDS).select(*docs.columns)
+    """All documents, without the passages that stand in an earlier one; those of whose words nothing is left go, as all they say is said elsewhere.
+
+    Texts that had no words before stay, null ones too, as do repeated rows; other columns but n_chars are as they were.
+    """
+    found = lines.dedup_lines(docs, run_words=lines.RUN_WORDS)
+    emptied = (F.col("removed_chars") > 0) & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return found.filter(~emptied).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
