@@ -239,6 +239,16 @@ def test_pipeline(spark):
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
 
 
+def test_pipeline_drops_what_line_dedup_empties(spark):
+    """A copy of which nothing is left goes; what had no words before, and what keeps some, stays."""
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), (2, passage), (3, f"{passage}\nown"), (4, ""), (5, None), (6, " \n "), (7, "short"), (8, "short")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert out == {1: passage, 3: "own", 4: "", 5: None, 6: " \n ", 7: "short", 8: "short"}
+
+
 def test_pipeline_labels_are_predicted(spark):
     """A wrong label is put right; with no labels at all every document with letters stays."""
     import corpus_pipeline
