@@ -31,17 +31,44 @@ def _resampled(rows: DataFrame, replicates: int, values: list[str], order: str =
     return draws.join(placed.select("_i", *values), "_i").groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
 
 
-def bootstrap(rows: DataFrame, replicates: int = 10_000, alpha: float = 0.025, model: str = "model") -> DataFrame:
-    """model, n_docs, bpb, bpb_std, ci_low and ci_high of the corpus bpb of rows (uid, loss_nats, num_bytes)."""
+def poisson_weight(replicate: Column, uid: Column, most: int = 12) -> Column:
+    """How often a replicate takes a document: a number drawn from Poisson's law of mean 1, by the hash of both; larger ones than most have chances below 1e-9."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(uid, replicate), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    share, upto, weight = math.exp(-1), 0.0, F.lit(0)
+    for k in range(most):
+        upto += share
+        share /= k + 1
+        weight = weight + (uniform > upto).cast("int")
+    return weight
+
+
+def _weighted(rows: DataFrame, replicates: int, values: list[str], order: str = "uid") -> DataFrame:
+    """replicate and the sum of each of values, each document taken as often as poisson_weight() says.
+
+    What a document gives to the replicates is summed up where it stands, so that only sums are shuffled, a row for each replicate and task.
+    """
+    each = rows.select(order, *values, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    weight = poisson_weight(F.col("replicate"), F.col(order))
+    return each.withColumn("_w", weight).filter("_w > 0").groupBy("replicate").agg(*(F.sum(F.col(v) * F.col("_w")).alias(v) for v in values))
+
+
+RESAMPLERS = {"poisson": _weighted, "md5": _resampled}
+
+
+def bootstrap(rows: DataFrame, replicates: int = 10_000, alpha: float = 0.025, model: str = "model", draws: str = "poisson") -> DataFrame:
+    """model, n_docs, bpb, bpb_std, ci_low and ci_high of the corpus bpb of rows (uid, loss_nats, num_bytes).
+
+    draws: poisson, which scales with the documents; or md5, by which any engine can draw the same documents, at the price of a join of all draws.
+    """
     whole = rows.agg(F.count("*").alias("n_docs"), (F.sum("loss_nats") / (F.sum("num_bytes") * LN2)).alias("bpb"))
-    each = _resampled(rows, replicates, ["loss_nats", "num_bytes"]).select((F.col("loss_nats") / (F.col("num_bytes") * LN2)).alias("b"))
+    each = RESAMPLERS[draws](rows, replicates, ["loss_nats", "num_bytes"]).select((F.col("loss_nats") / (F.col("num_bytes") * LN2)).alias("b"))
     q = F.percentile("b", F.array(F.lit(alpha), F.lit(1 - alpha)))
     spread = each.agg(F.round(F.stddev_samp("b"), 6).alias("bpb_std"), F.round(q[0], 6).alias("ci_low"), F.round(q[1], 6).alias("ci_high"))
     both = whole.withColumn("_one", F.lit(1)).join(F.broadcast(spread.withColumn("_one", F.lit(1))), "_one")
     return both.select(F.lit(model).alias("model"), "n_docs", F.round("bpb", 6).alias("bpb"), "bpb_std", "ci_low", "ci_high")
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, replicates: int = 10_000, alpha: float = 0.025, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, replicates: int = 10_000, alpha: float = 0.025, names: tuple[str, str] = ("a", "b"), draws: str = "poisson") -> DataFrame:
     """The difference of two models' corpus bpb on their common documents, whose draws both share.
 
     significant: the interval is on one side of 0. p_boot: twice the smaller share of differences above 0 and of the others. No common document is an error.
@@ -51,7 +78,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, replicates: int = 10_000, alpha
         raise ValueError("the models have no document in common")
     delta = (F.sum("loss_nats") / (F.sum("num_bytes") * LN2)) - (F.sum("loss_b") / (F.sum("bytes_b") * LN2))
     whole = both.agg(F.count("*").alias("n_docs"), F.round(delta, 6).alias("delta_bpb"))
-    sums = _resampled(both, replicates, ["loss_nats", "num_bytes", "loss_b", "bytes_b"])
+    sums = RESAMPLERS[draws](both, replicates, ["loss_nats", "num_bytes", "loss_b", "bytes_b"])
     each = sums.select((F.col("loss_nats") / (F.col("num_bytes") * LN2) - F.col("loss_b") / (F.col("bytes_b") * LN2)).alias("d"))
     q = F.percentile("d", F.array(F.lit(alpha), F.lit(1 - alpha)))
     spread = each.agg(q[0].alias("lo"), q[1].alias("hi"), F.avg((F.col("d") > 0).cast("int")).alias("above"))

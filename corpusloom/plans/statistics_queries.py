@@ -191,12 +191,18 @@ def run_name_parse(spark, sf_dir):
     return rows.select("uid", "r.*", results.tokenizer_of(F.col("run")).alias("directory"))
 
 
-_DRAWS = "m AS (SELECT *, row_number() OVER (ORDER BY uid) - 1 AS i, count(*) OVER () AS n FROM r), x AS (SELECT b, ('0x' || substr(md5(b || ':' || i), 1, 12))::BIGINT % n AS i FROM m, (SELECT unnest(range(0, 200)) AS b))"
+_DRAWS = "m AS (SELECT *, row_number() OVER (ORDER BY uid) - 1 AS i, count(*) OVER () AS n FROM r), x AS (SELECT b, ('0x' || substr(md5(b || ':' || i), 1, 12))::BIGINT % n AS i FROM m, (SELECT unnest(range(0, 1000)) AS b))"
 
 
 @query(_LOSS + ", " + _DRAWS + ", s AS (SELECT b, sum(loss_nats) / (sum(num_bytes) * 0.6931471805599453) AS v FROM x JOIN m USING (i) GROUP BY b) SELECT 'unigram' AS model, (SELECT count(*) FROM r) AS n_docs, (SELECT round(sum(loss_nats) / (sum(num_bytes) * 0.6931471805599453), 6) FROM r) AS bpb, round(stddev_samp(v), 6) AS bpb_std, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM s")
 def bootstrap_ci_md5(spark, sf_dir):
-    return inference.bootstrap(_losses(spark, sf_dir), 200, model="unigram")
+    return inference.bootstrap(_losses(spark, sf_dir), 1000, model="unigram", draws="md5")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    """The interval of 10,000 replicates."""
+    return inference.bootstrap(_losses(spark, sf_dir), model="unigram")
 
 
 _DELTA = "sum(loss_nats) / (sum(num_bytes) * 0.6931471805599453) - sum(loss_b) / (sum(num_bytes) * 0.6931471805599453)"
@@ -206,7 +212,7 @@ _DELTA = "sum(loss_nats) / (sum(num_bytes) * 0.6931471805599453) - sum(loss_b) /
 def paired_bootstrap_md5(spark, sf_dir):
     """Against a model that takes eight nats for each token."""
     a = _losses(spark, sf_dir)
-    return inference.paired_bootstrap(a, a.withColumn("loss_nats", F.col("num_tokens") * 8.0), 200, names=("unigram", "flat"))
+    return inference.paired_bootstrap(a, a.withColumn("loss_nats", F.col("num_tokens") * 8.0), 1000, names=("unigram", "flat"), draws="md5")
 
 
 _KERNEL = f"SELECT word, cnt, rank - 1000.0 AS x, 1 - abs(rank - 1000.0) / 500 AS w, CASE WHEN rank < 1000 THEN 1 ELSE 0 END AS t FROM ({_RANKS}) WHERE abs(rank - 1000.0) <= 500"
