@@ -18,7 +18,7 @@ from .components import components
 SAMPLE = 20_000
 #: There are about so many lists for each square root of the vectors; no more than MOST_LISTS, beyond which lists grow and meet in blocks.
 LISTS, MOST_LISTS = 1.5, 2_048
-#: Neighbouring lists are a group, whose vectors, about so many, meet in one task.
+#: There is a coarse cell for so many vectors; those of a cell, and its guests, meet in one task, list by list.
 GROUP_ROWS = 4_096
 SUBSPACES, CODES = 8, 256
 #: Vectors of a dimension beyond these are an error: each has codebooks of its own.
@@ -31,10 +31,10 @@ SLACK = 1e-4
 
 @dataclass(frozen=True)
 class Codebooks:
-    """Centres of the lists and their groups, and for each subspace (a range of components) the code words of residuals."""
+    """Centres of the lists and of the coarse cells, and for each subspace (a range of components) the code words of residuals."""
 
     centres: np.ndarray
-    group: np.ndarray
+    cells: np.ndarray
     ranges: list[tuple[int, int]]
     words: list[np.ndarray]
 
@@ -58,13 +58,12 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray
     return centres
 
 
-def fit(sample: np.ndarray, lists: int, groups: int) -> Codebooks:
+def fit(sample: np.ndarray, lists: int, cells: int) -> Codebooks:
     centres = cluster(sample, max(1, min(lists, len(sample) // 8)))
-    heads = cluster(centres, max(1, min(groups, len(centres))))
     residual = sample - centres[squared_distances(sample, centres).argmin(1)]
     edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int).tolist()
     ranges = list(zip(edges, edges[1:], strict=False))
-    return Codebooks(centres, squared_distances(centres, heads).argmin(1).astype(np.int32), ranges, [cluster(residual[:, a:b], CODES) for a, b in ranges])
+    return Codebooks(centres, cluster(sample, max(1, min(cells, len(sample) // 8))), ranges, [cluster(residual[:, a:b], CODES) for a, b in ranges])
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -97,20 +96,20 @@ def codebooks(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Codebooks]:
 INDEX = "cid long, label int, dim int, rows long, list int, group int, visited array<int>, codes binary, error double, vector binary"
 
 
-def margins(book: Codebooks, far: np.ndarray, home: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """How far vectors are, at least, from anything in some lists: from the planes halfway between the centres of their own lists and of those.
+def margins(centres: np.ndarray, far: np.ndarray, home: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How far vectors are, at least, from anything whose nearest centre is one of others: from the planes halfway between their own centres and those.
 
     far holds the squared distances of the vectors from all centres.
     """
-    between = np.sqrt(squared_distances(book.centres[home], book.centres[lists]))
-    return (far[:, lists] - far[np.arange(len(far)), home][:, None]) / np.maximum(2 * between, 1e-300)
+    between = np.sqrt(squared_distances(centres[home], centres[others]))
+    return (far[:, others] - far[np.arange(len(far)), home][:, None]) / np.maximum(2 * between, 1e-300)
 
 
 def index(classes: DataFrame, books: dict[int, Codebooks], radius: float) -> DataFrame:
-    """Every vector's list and group, residual codes and their error, its unit vector, and the further groups that it must be compared in.
+    """Every vector's list and cell (group), residual codes and their error, its unit vector, and the further cells that it must be compared in.
 
-    Whatever lies within radius of a vector and in another list lies beyond the plane halfway between the two centres. So the probes are just the lists
-    whose plane is no farther than radius; of two lists, the vectors of the lower one visit the other.
+    Whatever lies within radius of a vector and in another cell lies beyond the plane halfway between the two centres. So it visits just the cells
+    whose plane is no farther than radius; of two cells, the vectors of the lower one visit the other. Lists are probed by the same rule.
     """
     shared = classes.sparkSession.sparkContext.broadcast(books)
 
@@ -119,18 +118,19 @@ def index(classes: DataFrame, books: dict[int, Codebooks], radius: float) -> Dat
             dims = whole.column("dim").to_numpy()
             for dim in np.unique(dims):
                 b, batch = shared.value[int(dim)], whole.filter(pa.array(dims == dim))
-                every = np.arange(len(b.centres))
+                cells = np.arange(len(b.cells))
                 for start in range(0, len(batch), 1024):
                     part = batch.slice(start, 1024)
                     x = _unit(part.column("embedding"))
-                    far = squared_distances(x, b.centres)
-                    home = far.argmin(1)
-                    visits = (margins(b, far, home, every) <= radius + SLACK) & (every > home[:, None]) & (b.group != b.group[home][:, None])
+                    home = squared_distances(x, b.centres).argmin(1)
+                    far = squared_distances(x, b.cells)
+                    cell = far.argmin(1)
+                    visits = (margins(b.cells, far, cell, cells) <= radius + SLACK) & (cells > cell[:, None])
                     residual = x - b.centres[home]
                     codes = np.stack([squared_distances(residual[:, s:e], w).argmin(1) for (s, e), w in zip(b.ranges, b.words, strict=True)], 1)
                     error = np.linalg.norm(residual - b.decode(codes), axis=1)
                     columns = [part.column(n) for n in ("cid", "label", "dim", "rows")]
-                    columns += [pa.array(home.astype(np.int32)), pa.array(b.group[home]), pa.array([np.unique(b.group[v]) for v in visits], pa.list_(pa.int32()))]
+                    columns += [pa.array(home.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array([np.flatnonzero(v).astype(np.int32) for v in visits], pa.list_(pa.int32()))]
                     columns += [pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(error), pa.array([v.tobytes() for v in x], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
 
@@ -169,8 +169,7 @@ def _meet(book: Codebooks, block: int, members: pa.Table, guests: pa.Table, inne
     cids, rows, home, x = both("cid"), both("rows"), both("list"), np.concatenate([read(members), read(guests)])
     codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(own, -1)
     limit = (radius + members.column("error").to_numpy().astype(np.float32) + np.float32(SLACK)) ** 2
-    came = guests.column("from").to_numpy()
-    same = np.concatenate([np.ones(own, bool), (came >= 0) & (came < block)])
+    came = np.concatenate([np.full(own, block), guests.column("from").to_numpy()])
     here, first = np.unique(home[:own], return_index=True)
     last = np.append(first[1:], own)
     fixed = np.zeros(own, np.float32)
@@ -190,16 +189,17 @@ def _meet(book: Codebooks, block: int, members: pa.Table, guests: pa.Table, inne
         q, at = x[start : start + 512], home[start : start + 512]
         tables = [(-2 * q[:, s:e] @ w.T).astype(np.float32) for (s, e), w in zip(book.ranges, book.words, strict=True)]
         far = squared_distances(q, book.centres)
-        probed = (margins(book, far, at, here) <= radius + SLACK) & (here > at[:, None])
-        # A list meets itself, too, and what lies in a lower block of its group.
-        probed |= (here == at[:, None]) & same[start : start + len(q)][:, None]
+        probed = margins(book.centres, far, at, here) <= radius + SLACK
+        # Vectors of the cell meet those of higher lists, and of their own list those of higher blocks; guests of other cells (-1) meet all.
+        source = came[start : start + len(q)][:, None]
+        probed &= (source < 0) | (here > at[:, None]) | (here == at[:, None]) & (source <= block)
         for k in np.flatnonzero(probed.any(0)):
             who, block = np.flatnonzero(probed[:, k]), slice(first[k], last[k])
             near = far[who, here[k]].astype(np.float32)[:, None] + fixed[block][None]
             for m, t in enumerate(tables):
                 near += t[who][:, codes[block, m]]
             near = near <= limit[block]
-            # Of members of one list each pair once; guests come after all members.
+            # Of members of one list each pair once; guests come after all members, and meet all of them.
             near &= (at[who] != here[k])[:, None] | (np.arange(first[k], last[k])[None] < (who + start)[:, None])
             a, b = np.nonzero(near)
             rerank(who[a] + start, b + first[k])
@@ -211,8 +211,7 @@ def _meet(book: Codebooks, block: int, members: pa.Table, guests: pa.Table, inne
 def near_links(indexed: DataFrame, books: dict[int, Codebooks], cosine: float) -> DataFrame:
     """LINKS of the vectors of indexed, in parts that add up.
 
-    A group of lists is cut into blocks of about MEMBERS, and its guests (vectors of other groups that probe one of its lists, and those of its own other blocks) into
-    blocks of about GUESTS; each pair of blocks meets in one task, of bounded memory. Every pair of vectors that can link meets once.
+    A cell is cut into blocks of about MEMBERS, and its guests (vectors of lower cells that visit it, and those of its own other blocks) into blocks of about GUESTS; each pair of blocks meets in one task, of bounded memory. Every pair of vectors that can link meets once.
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     shared = indexed.sparkSession.sparkContext.broadcast(books)

@@ -150,7 +150,7 @@ def test_vectors_are_in_several_lists(spark):
     x = np.stack([np.array(r["embedding"], float) for r in classes.collect()])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     far = vectors.squared_distances(x, book.centres)
-    probed = vectors.margins(book, far, far.argmin(1), np.arange(len(book.centres))) <= 0.2 + vectors.SLACK
+    probed = vectors.margins(book.centres, far, far.argmin(1), np.arange(len(book.centres))) <= 0.2 + vectors.SLACK
     assert probed.mean() < 0.5
 
 
