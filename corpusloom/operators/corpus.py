@@ -65,27 +65,25 @@ def joined_on(rows: DataFrame, table: DataFrame, keys: Sequence[str], broadcast:
     return rows.join(F.broadcast(other) if broadcast else other, met).drop(*(f"_key_{i}" for i in range(len(keys))))
 
 
-def running_sum(df: DataFrame, value: Column, order: str, name: str, by: Sequence[str] = (), ranges: tuple[Column, ...] | None = None, exclusive: bool = True) -> DataFrame:
+def running_sum(df: DataFrame, value: Column, order: str, name: str, by: Sequence[str] = (), ranges: tuple[Column, Column] | None = None, exclusive: bool = True) -> DataFrame:
     """df with the sum of value over the rows before each (and itself, unless exclusive), in the order of a unique column.
 
-    Sums are made in levels: within the finest of the ranges of the order (columns that don't decrease along it, each of which refines the one before), over
-    the fine ranges of each coarse one, and over the coarse ones. So no task sees more than the rows or ranges of one range, or the coarse ranges of one group. Rows
-    whose order is null come first; a null in by is a group of its own.
+    Sums are made in levels: within the fine ranges of the order (the second of ranges, which doesn't decrease along it and refines the first, the coarse ones), over the
+    fine ranges of each coarse one, and over the coarse ones. So no task sees more than the rows of a fine range, the fine ranges of a coarse one, or the coarse ranges
+    of one group. Rows whose order is null come first; a null in by is a group of its own.
     """
-    levels = [f"_range_{i}" for i, _ in enumerate(ranges or ranges_of(order))]
-    rows = df.withColumns({n: c for n, c in zip(levels, ranges or ranges_of(order), strict=True)} | {"_value": value.cast("long")})
-    inner = F.sum("_value").over(Window.partitionBy(*by, *levels).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
-    total, found = F.coalesce(inner, F.lit(0)), rows
-    totals = rows.groupBy(*by, *levels).agg(F.sum("_value").alias("_total"))
-    bases = totals
-    for i in range(len(levels) - 1, -1, -1):
-        # The totals of one level are summed up within the ranges of the level above.
-        before = F.sum("_total").over(Window.partitionBy(*by, *levels[:i]).orderBy(levels[i]).rowsBetween(Window.unboundedPreceding, -1))
-        based = totals.withColumn(f"_base_{i}", F.coalesce(before, F.lit(0))).drop("_total")
-        bases = based if i == len(levels) - 1 else joined_on(bases, based, [*by, *levels[: i + 1]])
-        totals = totals.groupBy(*by, *levels[:i]).agg(F.sum("_total").alias("_total"))
-    found = joined_on(rows.withColumn("_inner", total), bases, [*by, *levels])
-    return found.withColumn(name, sum((F.col(f"_base_{i}") for i in range(len(levels))), F.col("_inner"))).drop("_value", "_inner", *levels, *(f"_base_{i}" for i in range(len(levels))))
+    coarse, fine = ranges or ranges_of(order)
+    rows = df.withColumns({"_coarse": coarse, "_fine": fine, "_value": value.cast("long")})
+    before = lambda column, *at: F.coalesce(F.sum(column).over(Window.partitionBy(*by, *at[:-1]).orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.sum("_value").over(Window.partitionBy(*by, "_coarse", "_fine").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    # The fine ranges of a coarse one are an array of a few thousand totals while the coarse ones are summed up, so that the rows are read only once for both.
+    totals = rows.groupBy(*by, "_coarse", "_fine").agg(F.sum("_value").alias("_total"))
+    totals = totals.groupBy(*by, "_coarse").agg(F.collect_list(F.struct("_fine", F.coalesce("_total", F.lit(0)).alias("_total"))).alias("_ranges"))
+    totals = totals.withColumn("_all", F.aggregate("_ranges", F.lit(0).cast("long"), lambda a, x: a + x["_total"]))
+    totals = totals.withColumn("_start", before("_all", "_coarse")).select(*by, "_coarse", "_start", F.inline("_ranges"))
+    totals = totals.withColumn("_base", F.col("_start") + before("_total", "_coarse", "_fine")).drop("_start", "_total")
+    found = joined_on(rows.withColumn("_inner", F.coalesce(inner, F.lit(0))), totals, [*by, "_coarse", "_fine"])
+    return found.withColumn(name, F.col("_base") + F.col("_inner")).drop("_coarse", "_fine", "_value", "_base", "_inner")
 
 
 def budget_cut(df: DataFrame, tokens: str, target: int | Column, order: str, by: Sequence[str] = ()) -> DataFrame:
