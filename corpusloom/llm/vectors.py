@@ -194,11 +194,11 @@ def _meet(book: Codebooks, block: int, members: pa.Table, guests: pa.Table, inne
         source = came[start : start + len(q)][:, None]
         probed &= (source < 0) | (here > at[:, None]) | (here == at[:, None]) & (source <= block)
         for k in np.flatnonzero(probed.any(0)):
-            who, block = np.flatnonzero(probed[:, k]), slice(first[k], last[k])
-            near = far[who, here[k]].astype(np.float32)[:, None] + fixed[block][None]
+            who, span = np.flatnonzero(probed[:, k]), slice(first[k], last[k])
+            near = far[who, here[k]].astype(np.float32)[:, None] + fixed[span][None]
             for m, t in enumerate(tables):
-                near += t[who][:, codes[block, m]]
-            near = near <= limit[block]
+                near += t[who][:, codes[span, m]]
+            near = near <= limit[span]
             # Of members of one list each pair once; guests come after all members, and meet all of them.
             near &= (at[who] != here[k])[:, None] | (np.arange(first[k], last[k])[None] < (who + start)[:, None])
             a, b = np.nonzero(near)

@@ -141,6 +141,18 @@ def test_near_duplicates(spark, monkeypatch, list_rows, members, guests):
     assert sorted((tuple(r) for r in vectors.near_duplicates(table).collect()), key=str) == plain_links(rows)
 
 
+@pytest.mark.parametrize("rows_of_a_cell", [4096, 300])
+def test_many_vectors_against_all_products(spark, monkeypatch, rows_of_a_cell):
+    """More vectors of a label than a task compares at a time, in one cell and in several."""
+    monkeypatch.setattr(vectors, "GROUP_ROWS", rows_of_a_cell)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(300, 24)), 6, axis=0) + rng.normal(size=(1800, 24)) * rng.uniform(0, 0.25, (1800, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = ((unit @ unit.T >= 0.98).sum(1) - 1).tolist()
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(table).collect()} == dict(enumerate(links)) and sum(links) > 1000
+
+
 def test_vectors_are_in_several_lists(spark):
     """At the size of the smallest tables there are lists that most vectors don't visit."""
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
