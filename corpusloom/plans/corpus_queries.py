@@ -170,7 +170,11 @@ def lines_with_endings(spark, sf_dir):
     """Texts cut into lines that keep their ends, and put together again."""
     from ..sources.readers import lines_keeping_ends
 
-    lines = lines_keeping_ends(documents(spark, sf_dir).select("uid", "text"))
+    docs = documents(spark, sf_dir).select("uid", "text")
+    lines = lines_keeping_ends(docs)
     # A text that ends with a line feed has no further line.
     whole = lines.groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "").alias("text"))
-    return whole.select("uid", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.md5("text").alias("digest"))
+    # Texts that are empty or null have no line, but a row.
+    whole = docs.select("uid", F.when(F.col("text").isNotNull(), "").alias("_none")).join(whole, "uid", "left").select("uid", F.coalesce("text", "_none").alias("text"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1)).cast("long"))
+    return whole.select("uid", n_lines.alias("n_lines"), F.md5("text").alias("digest"))
