@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import decode, normalize, post, pretok
@@ -15,6 +15,11 @@ def _counted(array_sql: str) -> str:
     return f"SELECT word, count(*) AS cnt FROM (SELECT unnest({array_sql}) AS word FROM documents) WHERE word <> '' GROUP BY word"
 
 
+def _sum_of(ids: Column) -> Column:
+    """The sum of an array, null for one without elements."""
+    return F.when(F.size(ids) > 0, F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
 def _counts(spark, sf_dir, splitter):
     docs = documents(spark, sf_dir)
     return statistics.word_counts(docs.withColumn("pieces", splitter(F.col("text"))))
@@ -196,7 +201,7 @@ def decode_ctc(spark, sf_dir):
 @query(f"SELECT uid, part, len(p) AS n, list_sum(p)::BIGINT AS total FROM (SELECT uid, i AS part, ids[i * 96 + 1 : i * 96 + 128] AS p FROM (SELECT uid, ids, unnest(range(0, (ceil(greatest(0, len(ids) - 128) / 96) + 1)::BIGINT)) AS i FROM ({_IDS})))")
 def stride_windows(spark, sf_dir):
     parts = with_ids(spark, sf_dir).select("uid", F.posexplode(post.stride_parts(F.col("input_ids"), 128, 32)).alias("part", "p"))
-    return parts.select("uid", F.col("part").cast("long").alias("part"), F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return parts.select("uid", F.col("part").cast("long").alias("part"), F.size("p").cast("long").alias("n"), _sum_of(F.col("p")).alias("total"))
 
 
 _PAD = f"SELECT uid, len(ids) AS n, max(len(ids)) OVER (PARTITION BY uid // 32) AS width FROM ({_IDS})"

@@ -34,3 +34,8 @@ def agrees(spark, odd, name):
 def test_lines_with_endings(spark, odd):
     """Texts without a line have a row all the same."""
     agrees(spark, odd, "lines_with_endings")
+
+
+def test_stride_windows(spark, odd):
+    """The part of a text without ids has no sum."""
+    agrees(spark, odd, "stride_windows")
