@@ -237,7 +237,7 @@ def strip_left_padding(spark, sf_dir):
     """Lengths of up to three bytes stand for log-probabilities of 0."""
     probs = F.transform("input_ids", lambda x: F.when(x > 3, -x.cast("double")).otherwise(F.lit(0.0)))
     ids, _ = post.stripped_left(F.col("input_ids"), probs)
-    return with_ids(spark, sf_dir).select("uid", F.size(ids).cast("long").alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return with_ids(spark, sf_dir).select("uid", F.size(ids).cast("long").alias("n"), _sum_of(ids).alias("total"))
 
 
 @query(f"SELECT uid, b AS batch, w - len(ids) AS fill FROM (SELECT uid, ids, uid // 16 AS b, max(len(ids)) OVER (PARTITION BY uid // 16) AS w FROM ({_IDS}))")
