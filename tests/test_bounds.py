@@ -10,8 +10,9 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_piece_offsets_sends_lengths_alone_to_python(spark):
+@pytest.mark.parametrize("name", ["piece_offsets", "trimmed_offsets"])
+def test_offsets_send_lengths_alone_to_python(spark, name):
     """An array of whole pieces with their ranges takes gigabytes of a batch."""
-    rows = catalogue.QUERIES["piece_offsets"](spark, SF)
+    rows = catalogue.QUERIES[name](spark, SF)
     sent = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "EvalPython" in x]
     assert len(sent) == 1 and "transform(" in sent[0] and "length(" in sent[0] and "run(" not in sent[0]
