@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import dense_uid
+from .iteration import checkpointed
 from .statistics import LN2
 
 
@@ -18,17 +21,88 @@ def draw(replicate: Column, i: Column, n: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") % n
 
 
+#: Parts into which the replicates are dealt, and places of documents whose values a task holds at a time: 32 bytes each with four values.
+PARTS, HELD = 48, 1 << 22
+#: Draws made at a time, whose arrays stay in a processor's cache.
+STEP = 8_192
+_SHIFTS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]])
+_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+
+
+def _md5_heads(words: list[np.ndarray]) -> np.ndarray:
+    """The first twelve hex digits of the md5 of many messages of one block each, as numbers: words are their 16 32-bit words."""
+    a0, b0, c0, d0 = (np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    a, b, c, d = a0, b0, c0, d0
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + a + _SINES[i] + words[g]
+        left = _SHIFTS[i // 16, i % 4]
+        a, d, c, b = d, c, b, b + (f << np.uint32(left) | f >> np.uint32(32 - left))
+    first, second = (a + a0).byteswap().astype(np.int64), (b + b0).byteswap().astype(np.int64)
+    return first << 16 | second >> 16
+
+
+def draws_of(replicates: Sequence[int], first: int, upto: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """replicate and the indices that it draws first-th to upto-th (without), as draw() says; places of equally many digits at a time, and few enough for the cache."""
+    with np.errstate(over="ignore"):
+        while first < upto:
+            digits = len(str(first))
+            end = min(upto, first + STEP, 10**digits)
+            places = np.arange(first, end, dtype=np.int64)
+            for size in {len(str(b)) for b in replicates}:
+                # Messages are "b:i", a bit, zeros and the length in bits; only the bytes of b differ from one replicate to the next.
+                block = np.zeros((len(places), 64), np.uint8)
+                block[:, size] = ord(":")
+                for k in range(digits):
+                    block[:, size + digits - k] = places // 10**k % 10 + 48
+                block[:, size + 1 + digits] = 0x80
+                block[:, 56:58] = np.array([8 * (size + 1 + digits)], "<u2").view(np.uint8)
+                own = [np.ascontiguousarray(x) for x in block.view("<u4").T]
+                for b in replicates:
+                    if len(str(b)) == size:
+                        name = np.frombuffer(str(b).encode().ljust((size + 3) // 4 * 4, b"\0"), "<u4")
+                        yield b, _md5_heads([x | name[k] if k < len(name) else x for k, x in enumerate(own)]) % n
+            first = end
+
+
 def _resampled(rows: DataFrame, replicates: int, values: list[str], order: str = "uid") -> DataFrame:
     """replicate and the sum of each of values over as many documents as there are, drawn with replacement.
 
-    Each document's place draws once for each replicate; draws meet documents by an equality join, and partial sums are made before the shuffle.
+    Each document's place draws once for each replicate. Replicates are dealt into parts, and each part gets the values of all documents by their places, so that a draw
+    looks its document up in an array and none is shuffled. Where there are more than HELD documents a task takes those of so many places, and the draws that fall on them.
     """
-    placed = dense_uid(rows.select(order, *values), order, name="_i")
-    total = placed.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    draws = placed.select("_i").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    draws = draws.select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select("replicate", draw(F.col("replicate"), F.col("_i"), F.col("_n")).alias("_i"))
-    return draws.join(placed.select("_i", *values), "_i").groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
+    placed = checkpointed(dense_uid(rows.select(order, *values), order, name="_i"))
+    n = placed.count()
+    parts = min(PARTS, replicates)
+
+    def run(key: tuple[int, int], held: pd.DataFrame) -> pd.DataFrame:
+        part, base = key[0], key[1] * HELD
+        at = held["_i"].to_numpy() - base
+        size = min(HELD, n - base)
+        tables = []
+        for v in values:
+            table = np.zeros(size, np.float64)
+            table[at] = held[v].to_numpy(np.float64, na_value=0.0)
+            tables.append(table)
+        mine = range(part, replicates, parts)
+        sums = {b: [0.0] * len(values) for b in mine}
+        for b, found in draws_of(mine, 0, n, n):
+            if size < n:
+                found = found[(found >= base) & (found < base + size)] - base
+            for k, table in enumerate(tables):
+                sums[b][k] += float(table[found].sum())
+        return pd.DataFrame([(b, *x) for b, x in sums.items()], columns=["replicate", *values])
+
+    each = placed.select("_i", *values).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_held", F.expr(f"_i div {HELD}"))
+    schema = ", ".join(["replicate int", *(f"`{v}` double" for v in values)])
+    return each.groupBy("_part", "_held").applyInPandas(run, schema).groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
 
 
 def poisson_weight(replicate: Column, uid: Column, most: int = 12) -> Column:
@@ -58,8 +132,9 @@ RESAMPLERS = {"poisson": _weighted, "md5": _resampled}
 def bootstrap(rows: DataFrame, replicates: int = 10_000, alpha: float = 0.025, model: str = "model", draws: str = "poisson") -> DataFrame:
     """model, n_docs, bpb, bpb_std, ci_low and ci_high of the corpus bpb of rows (uid, loss_nats, num_bytes).
 
-    draws: poisson, which scales with the documents; or md5, by which any engine can draw the same documents, at the price of a join of all draws.
+    draws: poisson, which scales with the documents; or md5, by which any engine can draw the same documents, at the price of a digest for each draw.
     """
+    rows = checkpointed(rows.select("uid", "loss_nats", "num_bytes"))  # a few numbers for each document, which are read again and again
     whole = rows.agg(F.count("*").alias("n_docs"), (F.sum("loss_nats") / (F.sum("num_bytes") * LN2)).alias("bpb"))
     each = RESAMPLERS[draws](rows, replicates, ["loss_nats", "num_bytes"]).select((F.col("loss_nats") / (F.col("num_bytes") * LN2)).alias("b"))
     q = F.percentile("b", F.array(F.lit(alpha), F.lit(1 - alpha)))
@@ -74,6 +149,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, replicates: int = 10_000, alpha
     significant: the interval is on one side of 0. p_boot: twice the smaller share of differences above 0 and of the others. No common document is an error.
     """
     both = a.select("uid", "loss_nats", "num_bytes").join(b.select("uid", F.col("loss_nats").alias("loss_b"), F.col("num_bytes").alias("bytes_b")), "uid")
+    both = checkpointed(both)
     if both.isEmpty():
         raise ValueError("the models have no document in common")
     delta = (F.sum("loss_nats") / (F.sum("num_bytes") * LN2)) - (F.sum("loss_b") / (F.sum("bytes_b") * LN2))

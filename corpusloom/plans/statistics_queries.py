@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inference, packing, results, scoring, statistics
+from ..operators.iteration import checkpointed
 from .corpus_queries import _IDS, with_ids
 from .registry import PIECES_SQL, WORDS_SQL, documents, pieces, query, table, words
 
@@ -211,7 +212,7 @@ _DELTA = "sum(loss_nats) / (sum(num_bytes) * 0.6931471805599453) - sum(loss_b) /
 @query(_LOSS.replace(" r AS (", " r0 AS (") + ", r AS (SELECT *, num_tokens * 8.0 AS loss_b FROM r0), " + _DRAWS + f", s AS (SELECT b, {_DELTA} AS d FROM x JOIN m USING (i) GROUP BY b), z AS (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS above FROM s) SELECT 'unigram' AS model_a, 'flat' AS model_b, (SELECT count(*) FROM r) AS n_docs, (SELECT round({_DELTA}, 6) FROM r) AS delta_bpb, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, lo > 0 OR hi < 0 AS significant, round(2 * least(above, 1 - above), 6) AS p_boot FROM z")
 def paired_bootstrap_md5(spark, sf_dir):
     """Against a model that takes eight nats for each token."""
-    a = _losses(spark, sf_dir)
+    a = checkpointed(_losses(spark, sf_dir))
     return inference.paired_bootstrap(a, a.withColumn("loss_nats", F.col("num_tokens") * 8.0), 1000, names=("unigram", "flat"), draws="md5")
 
 

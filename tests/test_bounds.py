@@ -16,3 +16,30 @@ def test_offsets_send_lengths_alone_to_python(spark, name):
     rows = catalogue.QUERIES[name](spark, SF)
     sent = [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "EvalPython" in x]
     assert len(sent) == 1 and "transform(" in sent[0] and "length(" in sent[0] and "run(" not in sent[0]
+
+
+def test_draws_by_md5_are_looked_up_not_joined(spark):
+    """A row for each draw doesn't get through a shuffle at size."""
+    import hashlib
+
+    from corpusloom.operators import inference
+
+    n = 12_345
+    found = {b: [] for b in (0, 7, 10, 123)}
+    for b, drawn in inference.draws_of(tuple(found), 0, n, n):
+        found[b] += drawn.tolist()
+    assert all(x == [int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:12], 16) % n for i in range(n)] for b, x in found.items())
+    rows = spark.range(100).selectExpr("id as uid", "id * 1.5D as loss_nats", "id as num_bytes")
+    sums = inference._resampled(rows, 20, ["loss_nats", "num_bytes"])
+    assert "md5" not in plan(sums) and "Join" not in plan(sums)
+    first = [int(hashlib.md5(f"3:{i}".encode()).hexdigest()[:12], 16) % 100 for i in range(100)]
+    assert sums.filter("replicate = 3").collect()[0].asDict() == {"replicate": 3, "loss_nats": sum(first) * 1.5, "num_bytes": sum(first)}
+
+
+def test_losses_shuffle_rare_pieces_alone(spark):
+    """Frequent pieces get their costs by a broadcast and are summed up where they stand."""
+    from corpusloom.operators import scoring
+
+    docs = spark.createDataFrame([(1, "a b a c", list("abac")), (2, "a", ["a"]), (3, "a a b", list("aab"))], "uid long, text string, pieces array<string>")
+    rows = scoring.document_losses(docs, scoring.unigram_model(docs))
+    assert plan(rows).count("strategy=broadcast") >= 2 and {r["uid"]: round(r["loss_nats"], 6) for r in rows.collect()} == {1: 3.871201, 3: 2.079442}
