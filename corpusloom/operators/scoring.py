@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .iteration import checkpointed
 from .statistics import bits_per_byte, word_counts
 
 #: A scorer takes batches of uid, input_ids, start, end and new_from, and gives for each window the loss in nats of its new targets.
@@ -22,14 +24,36 @@ def unigram_model(pieces: DataFrame, column: str = "pieces") -> DataFrame:
     return known.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one").select("word", (-F.ln((F.col("cnt") + 1) / (F.col("n") + F.col("v") + 1))).alias("nats"))
 
 
+#: Pieces of at least this share's inverse are broadcast with their costs; as shares add up to 1 at most, there are never more.
+HOT = 1 << 16
+
+
+def with_costs(rows: DataFrame, costs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows with nats of frequent values of key, null for others, by a broadcast of HOT costs at most; and the costs of all others, for a join of what is left."""
+    known = costs.filter(F.col(key).isNotNull())
+    frequent = F.col("nats") <= math.log(HOT)
+    hot = known.filter(frequent).select(F.col(key).alias("_key"), "nats")
+    return rows.join(F.broadcast(hot), rows[key] == F.col("_key"), "left").drop("_key"), known.filter(~frequent)
+
+
 def document_losses(docs: DataFrame, model: DataFrame, column: str = "pieces", skip_first: bool = True) -> DataFrame:
-    """uid, num_bytes, num_tokens, loss_nats and bpb. The first piece is not predicted, but its bytes count; documents without bytes or with one piece are left out."""
+    """uid, num_bytes, num_tokens, loss_nats and bpb. The first piece is not predicted, but its bytes count; documents without bytes or with one piece are left out.
+
+    Frequent pieces get their costs where they stand and are summed up before the shuffle, which only rare ones go through, each once for a document.
+    """
+    model = checkpointed(model)
     unknown = model.filter("word is null").select(F.col("nats").alias("unknown")).withColumn("_one", F.lit(1))
-    each = docs.select("uid", F.posexplode(column).alias("pos", "word")).filter("pos > 0" if skip_first else "true")
-    costs = each.join(model.filter("word is not null"), "word", "left").withColumn("_one", F.lit(1)).join(F.broadcast(unknown), "_one")
-    losses = costs.groupBy("uid").agg(F.sum(F.coalesce("nats", "unknown")).alias("loss_nats"))
-    sizes = docs.select("uid", F.octet_length("text").cast("long").alias("num_bytes"), F.size(column).cast("long").alias("num_tokens"))
-    rows = sizes.filter("num_bytes > 0 and num_tokens > 1").join(losses, "uid")
+    sizes = F.octet_length("text").cast("long").alias("num_bytes"), F.size(column).cast("long").alias("num_tokens")
+    each = docs.select("uid", *sizes, column).filter("num_bytes > 0 and num_tokens > 1").select("uid", "num_bytes", "num_tokens", F.posexplode(column).alias("pos", "word"))
+    each, rare = with_costs(each.filter("pos > 0" if skip_first else "true"), model, "word")
+    each = each.select("uid", "num_bytes", "num_tokens", "nats", F.when(F.col("nats").isNull(), F.col("word")).alias("word"))
+    of = ["uid", "num_bytes", "num_tokens"]
+    sums = each.groupBy(*of, "word").agg(F.sum("nats").alias("_sum"), F.count_if(F.col("nats").isNull()).alias("_n"))
+    # Rows of sums meet no rare piece; a second key deals them out.
+    sums = sums.withColumn("_salt", F.when(F.col("_n") == 0, F.xxhash64("uid").bitwiseOR(1)).otherwise(0)).withColumn("word", F.coalesce("word", F.lit("")))
+    met = sums.join(rare.select("word", "nats").withColumn("_salt", F.lit(0).cast("long")), ["word", "_salt"], "left").withColumn("_one", F.lit(1)).join(F.broadcast(unknown), "_one")
+    cost = F.when(F.col("_n") > 0, F.col("_n") * F.coalesce("nats", "unknown")).otherwise(F.col("_sum"))
+    rows = met.groupBy(*of).agg(F.sum(cost).alias("loss_nats"))
     return rows.select("uid", "num_bytes", "num_tokens", "loss_nats", bits_per_byte(F.col("loss_nats"), F.col("num_bytes")).alias("bpb"))
 
 
