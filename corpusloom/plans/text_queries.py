@@ -179,7 +179,8 @@ def decode_metaspace(spark, sf_dir):
 def decode_bytelevel(spark, sf_dir):
     """Texts to the byte alphabet and back."""
     tokens = F.array(normalize.byte_level(F.col("text")))
-    return documents(spark, sf_dir).select("uid", F.md5(decode.text_of(decode.byte_level(tokens))).alias("digest"))
+    text = F.when(F.col("text").isNotNull(), decode.text_of(decode.byte_level(tokens)))
+    return documents(spark, sf_dir).select("uid", F.md5(text).alias("digest"))
 
 
 @query(f"SELECT doc_id AS uid, md5(array_to_string({WORDS_SQL}, ' ')) AS digest FROM documents")

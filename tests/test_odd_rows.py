@@ -43,3 +43,9 @@ def test_stride_windows(spark, odd):
 
 def test_strip_left_padding(spark, odd):
     agrees(spark, odd, "strip_left_padding")
+
+
+@pytest.mark.parametrize("name", ["norm_bytelevel", "decode_bytelevel"])
+def test_byte_alphabet(spark, odd, name):
+    """Null texts are no error."""
+    agrees(spark, odd, name)
