@@ -43,3 +43,13 @@ def test_losses_shuffle_rare_pieces_alone(spark):
     docs = spark.createDataFrame([(1, "a b a c", list("abac")), (2, "a", ["a"]), (3, "a a b", list("aab"))], "uid long, text string, pieces array<string>")
     rows = scoring.document_losses(docs, scoring.unigram_model(docs))
     assert plan(rows).count("strategy=broadcast") >= 2 and {r["uid"]: round(r["loss_nats"], 6) for r in rows.collect()} == {1: 3.871201, 3: 2.079442}
+
+
+def test_absorptions_shuffle_no_single_characters(spark):
+    """Which no merge makes, and which would all meet in a few tasks."""
+    from corpusloom.operators import vocabulary
+
+    merges = spark.createDataFrame([(0, "a", "b", "ab"), (1, "ab", "c", "abc"), (2, "x", "y", "xy")], "rank long, left string, right string, result string")
+    rows = vocabulary.absorptions(merges)
+    assert "length(token" in plan(rows) or "length(left" in plan(rows)
+    assert sorted(map(tuple, rows.collect())) == [("ab", 0, 1), ("abc", 1, None), ("xy", 2, None)]
