@@ -53,3 +53,16 @@ def test_absorptions_shuffle_no_single_characters(spark):
     rows = vocabulary.absorptions(merges)
     assert "length(token" in plan(rows) or "length(left" in plan(rows)
     assert sorted(map(tuple, rows.collect())) == [("ab", 0, 1), ("abc", 1, None), ("xy", 2, None)]
+
+
+@pytest.mark.parametrize("name", ["train_unigram", "train_topdown"])
+def test_trainers_read_kept_words(spark, monkeypatch, name):
+    """Passes over words that are made anew from all texts each time take the time of the corpus, not of its words."""
+    from corpusloom.models import unigram
+
+    seen, sums = [], unigram._sums
+    monkeypatch.setattr(unigram, "_sums", lambda words, *a, **k: seen.append(plan(words)) or sums(words, *a, **k))
+    words = spark.createDataFrame([("abab", 3), ("abc", 5)], "word string, cnt long").groupBy("word").sum("cnt").withColumnRenamed("sum(cnt)", "cnt")
+    config = unigram.UnigramConfig(vocab_size=3) if name == "train_unigram" else unigram.TopDownConfig(vocab_size=3, prune_ratio=0.5)
+    getattr(unigram, name)(words, config)
+    assert seen and not any("Aggregate" in x for x in seen)
