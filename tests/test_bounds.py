@@ -66,3 +66,12 @@ def test_trainers_read_kept_words(spark, monkeypatch, name):
     config = unigram.UnigramConfig(vocab_size=3) if name == "train_unigram" else unigram.TopDownConfig(vocab_size=3, prune_ratio=0.5)
     getattr(unigram, name)(words, config)
     assert seen and not any("Aggregate" in x for x in seen)
+
+
+def test_trimmed_offsets_keep_texts_waiting_not_pieces(spark):
+    """Arrays of pieces beside each text that waits for Python take several times the text; and a piece's ends are not looked for in a function of arrays."""
+    rows = catalogue.QUERIES["trimmed_offsets"](spark, SF)
+    lines = plan(rows).splitlines()
+    below = lines[next(i for i, x in enumerate(lines) if "EvalPython" in x) + 1 :]
+    assert not any("regexp_extract_all" in x for x in below)
+    assert not any("transform(" in x and "regexp_replace(" in x for x in lines)
