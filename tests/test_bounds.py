@@ -75,3 +75,29 @@ def test_trimmed_offsets_keep_texts_waiting_not_pieces(spark):
     below = lines[next(i for i, x in enumerate(lines) if "EvalPython" in x) + 1 :]
     assert not any("regexp_extract_all" in x for x in below)
     assert not any("transform(" in x and "regexp_replace(" in x for x in lines)
+
+
+@pytest.mark.parametrize("kind", ["count", "ll_exact", "ll_approx"])
+def test_trainers_keep_words_as_numbers(kind):
+    """A task trains from all distinct words; lists and sets for each of them take about a kilobyte a word."""
+    import random
+    import tracemalloc
+
+    from corpusloom.models import bpe
+
+    rng = random.Random(3)
+    words = [("".join(rng.choices("abcdefghij", k=8)), 3) for _ in range(60_000)]
+    tracemalloc.start()
+    found = bpe.train_counts(words, bpe.BpeConfig(vocab_size=40, score_by=kind))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.merges) == 30 and peak / len(words) < 250
+
+
+def test_words_reach_the_trainer_in_batches(spark):
+    """A group that is made into one frame holds every word at once, as objects."""
+    from corpusloom.models import bpe
+
+    rows = bpe.train_all(spark.createDataFrame([("abab", 3), ("abc", 5)], "word string, cnt long"), {"a": bpe.BpeConfig(vocab_size=5), "b": bpe.BpeConfig(vocab_size=4)})
+    assert "MapInArrow" in plan(rows) and "FlatMapGroupsInPandas" not in plan(rows)
+    assert sorted((r["config"], r["rank"], r["result"], r["cnt"]) for r in rows.collect()) == [("a", 0, "ab", 11), ("a", 1, "abc", 5), ("b", 0, "ab", 11)]
