@@ -101,3 +101,29 @@ def test_words_reach_the_trainer_in_batches(spark):
     rows = bpe.train_all(spark.createDataFrame([("abab", 3), ("abc", 5)], "word string, cnt long"), {"a": bpe.BpeConfig(vocab_size=5), "b": bpe.BpeConfig(vocab_size=4)})
     assert "MapInArrow" in plan(rows) and "FlatMapGroupsInPandas" not in plan(rows)
     assert sorted((r["config"], r["rank"], r["result"], r["cnt"]) for r in rows.collect()) == [("a", 0, "ab", 11), ("a", 1, "abc", 5), ("b", 0, "ab", 11)]
+
+
+def test_pipelines_train_once_from_counted_pieces(spark, monkeypatch):
+    """Sorting the merges in Spark trained twice, and the alphabet counted the pieces of all texts again."""
+    from corpusloom.models import bpe, pipeline
+
+    seen, trained, train_all = [], [], pipeline.train_all
+    runs = spark.sparkContext.accumulator(0)
+
+    def counting(words, configs):
+        seen.append(plan(words))
+        rows = train_all(words, configs)
+        schema = rows.schema
+
+        def once(batches):
+            runs.add(1)
+            yield from batches
+
+        trained.append(schema)
+        return rows.mapInArrow(once, schema)
+
+    monkeypatch.setattr(pipeline, "train_all", counting)
+    docs = spark.createDataFrame([(1, "abab abc"), (2, "abc ab")], "uid long, text string")
+    made = pipeline.byte_level_bpe(docs, bpe.BpeConfig(vocab_size=6))
+    assert made.model.merges[0] == ("a", "b") and len(made.model.vocab) == 6
+    assert not any("regexp_extract_all" in x for x in seen) and runs.value == len(trained) == 1
