@@ -87,10 +87,14 @@ def token_logprobs(docs: DataFrame, costs: dict[int, float], unknown: float) ->
 
 def joined_logprobs(docs: DataFrame, costs: DataFrame) -> DataFrame:
     """uid, token_id, place and logprob of each predicted token, from a table of costs (token_id, nats; null for unknown ones). The first token isn't predicted, and has 0."""
+    costs = checkpointed(costs)
     unknown = costs.filter("token_id is null").select(F.col("nats").alias("unknown")).withColumn("_one", F.lit(1))
-    each = docs.select("uid", F.posexplode("input_ids").alias("place", "token_id")).join(costs.filter("token_id is not null"), "token_id", "left")
+    # Frequent tokens, which would meet in a few tasks, get their costs by a broadcast; a second key deals them out when rare ones are joined.
+    each, rare = with_costs(docs.select("uid", F.posexplode("input_ids").alias("place", "token_id")), costs, "token_id")
+    each = each.withColumnRenamed("nats", "_nats").withColumn("_salt", F.when(F.col("_nats").isNull(), 0).otherwise(F.xxhash64("uid", "place").bitwiseOR(1)))
+    each = each.join(rare.select("token_id", "nats").withColumn("_salt", F.lit(0).cast("long")), ["token_id", "_salt"], "left")
     each = each.withColumn("_one", F.lit(1)).join(F.broadcast(unknown), "_one")
-    return each.select("uid", "token_id", "place", F.when(F.col("place") == 0, 0.0).otherwise(-F.coalesce("nats", "unknown")).alias("logprob"))
+    return each.select("uid", "token_id", "place", F.when(F.col("place") == 0, 0.0).otherwise(-F.coalesce("_nats", "nats", "unknown")).alias("logprob"))
 
 
 def window_logprobs(docs: DataFrame, costs: DataFrame, window: int = 2048, stride: int = 512) -> DataFrame:

@@ -127,3 +127,14 @@ def test_pipelines_train_once_from_counted_pieces(spark, monkeypatch):
     made = pipeline.byte_level_bpe(docs, bpe.BpeConfig(vocab_size=6))
     assert made.model.merges[0] == ("a", "b") and len(made.model.vocab) == 6
     assert not any("regexp_extract_all" in x for x in seen) and runs.value == len(trained) == 1
+
+
+def test_logprobs_deal_frequent_tokens_out(spark):
+    """All rows of a frequent token would meet in one task."""
+    from corpusloom.operators import scoring
+
+    docs = spark.createDataFrame([(1, [7, 7, 8, 9]), (2, [7]), (3, [])], "uid long, input_ids array<int>")
+    costs = spark.createDataFrame([(7, 1.0), (8, 20.0), (None, 30.0)], "token_id int, nats double")
+    rows = scoring.joined_logprobs(docs, costs)
+    assert plan(rows).count("strategy=broadcast") >= 2 and "_salt" in plan(rows)
+    assert sorted(map(tuple, rows.collect())) == [(1, 7, 0, 0.0), (1, 7, 1, -1.0), (1, 8, 2, -20.0), (1, 9, 3, -30.0), (2, 7, 0, 0.0)]
