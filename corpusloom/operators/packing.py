@@ -70,22 +70,29 @@ def token_budget_batches(docs: DataFrame, budget: int, ids: str = "input_ids", s
     Documents come in descending length, in shards of about so many rows, and a batch ends before the row that would break the budget; a row
     that is longer than the budget is alone. The greedy choice depends on all rows before, so that it is made shard by shard.
     """
+    # Only lengths go to Python, whose memory then doesn't depend on the ids; these wait in the JVM. A null counts as no ids and comes last.
     rows = docs.withColumn("_len", F.size(ids))
-    cut = running_sum(rows.withColumn("_order", F.format_string("%010d:%s", F.lit(2_000_000_000) - F.col("_len"), F.col("uid").cast("string"))), F.lit(1), "_order", "_nth", ranges=(F.substring("_order", 1, 7), F.substring("_order", 1, 10)))
+    last = F.coalesce(F.lit(2_000_000_000) - F.col("_len"), F.lit(2_000_000_001))
+    cut = running_sum(rows.withColumn("_order", F.format_string("%010d:%s", last, F.col("uid").cast("string"))), F.lit(1), "_order", "_nth", ranges=(F.substring("_order", 1, 7), F.substring("_order", 1, 10)))
     cut = cut.withColumn("shard", F.expr(f"_nth div {shard}")).drop("_order")
-    schema = f"{docs.schema.simpleString()[7:-1]},shard:bigint,batch:int"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_nth")
-        batch, count, longest, found = 0, 0, 0, []
-        for n in rows["_len"]:
-            if count and max(longest, n) * (count + 1) > budget:
-                batch, count, longest = batch + 1, 0, 0
-            count, longest = count + 1, max(longest, n)
-            found.append(batch)
-        return rows.assign(batch=found).drop(columns=["_len", "_nth"])
-
-    return cut.groupBy("shard").applyInPandas(fold, schema)
+
+    def fold(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        at, batch, count, longest = None, 0, 0, 0
+        for shards, lengths in columns:
+            found = []
+            for k, n in zip(shards, lengths):
+                if k != at:
+                    at, batch, count, longest = k, 0, 0, 0
+                if count and max(longest, n) * (count + 1) > budget:
+                    batch, count, longest = batch + 1, 0, 0
+                count, longest = count + 1, max(longest, n)
+                found.append(batch)
+            yield pd.Series(found, dtype="int32")
+
+    # It depends on the order of rows, so that it must not pass for deterministic: the sort below would be left out where what follows needs none.
+    number = F.pandas_udf(fold, "int").asNondeterministic()
+    dealt = cut.repartition("shard").sortWithinPartitions("_nth")
+    return dealt.withColumn("batch", number("shard", F.coalesce("_len", F.lit(0)))).drop("_len", "_nth")
 
 
 def left_padded(docs: DataFrame, ids: str = "input_ids", pad: int = 0, by: str = "batch") -> DataFrame:

@@ -138,3 +138,27 @@ def test_logprobs_deal_frequent_tokens_out(spark):
     rows = scoring.joined_logprobs(docs, costs)
     assert plan(rows).count("strategy=broadcast") >= 2 and "_salt" in plan(rows)
     assert sorted(map(tuple, rows.collect())) == [(1, 7, 0, 0.0), (1, 7, 1, -1.0), (1, 8, 2, -20.0), (1, 9, 3, -30.0), (2, 7, 0, 0.0)]
+
+
+def test_budget_batches_send_lengths_alone_to_python(spark):
+    """A shard of whole documents in one frame takes gigabytes; and an aggregate that needs no order must not take the order from the numbering."""
+    from corpusloom.operators import packing
+
+    sizes = [(37 * i) % 101 for i in range(400)]
+    docs = spark.createDataFrame([(i, [7] * n) for i, n in enumerate(sizes)], "uid long, input_ids array<int>").repartition(5)
+    rows = packing.token_budget_batches(docs, 300, shard=64)
+    sent = [x for x in plan(rows).splitlines() if "EvalPython" in x]
+    assert len(sent) == 1 and "input_ids" not in sent[0].split("[pythonUDF")[0] and "FlatMapGroupsInPandas" not in plan(rows)
+    order, expected, held = sorted(range(400), key=lambda i: (-sizes[i], str(i))), {}, 0
+    for nth, i in enumerate(order):
+        first = order[nth - held] if held else i
+        if nth % 64 == 0:
+            batch, held = 0, 1
+        elif sizes[first] * (held + 1) > 300:
+            batch, held = batch + 1, 1
+        else:
+            held += 1
+        expected[i] = (nth // 64, batch)
+    assert {r["uid"]: (r["shard"], r["batch"]) for r in rows.collect()} == expected and all(len(r["input_ids"]) == sizes[r["uid"]] for r in rows.collect())
+    counts = rows.groupBy("shard", "batch").count().collect()
+    assert sorted((r["shard"], r["batch"], r["count"]) for r in counts) == sorted((*k, list(expected.values()).count(k)) for k in set(expected.values()))

@@ -49,3 +49,8 @@ def test_strip_left_padding(spark, odd):
 def test_byte_alphabet(spark, odd, name):
     """Null texts are no error."""
     agrees(spark, odd, name)
+
+
+def test_token_budget_batches(spark, odd):
+    """Null texts come last, and count as no ids."""
+    agrees(spark, odd, "token_budget_batches")
